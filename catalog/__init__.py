@@ -1,6 +1,6 @@
 """All registered queries; importing a module registers its queries."""
 
 from catalog.core import ORACLE, QUERIES
-from catalog import q_fixtures  # noqa: F401
+from catalog import q_columns, q_sequence  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLE"]

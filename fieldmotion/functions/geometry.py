@@ -74,17 +74,18 @@ def corners(h: Column) -> Column:
 
 
 def corner_gap(a: Column, b: Column) -> Column:
-    """Largest distance between two ``corners`` arrays."""
-    return F.greatest(*[
-        F.sqrt((a[2 * i] - b[2 * i]) * (a[2 * i] - b[2 * i])
-               + (a[2 * i + 1] - b[2 * i + 1]) * (a[2 * i + 1] - b[2 * i + 1]))
-        for i in range(4)
-    ])
+    """Largest distance between two ``corners`` arrays (pass columns, not expressions)."""
+    return F.greatest(*[F.hypot(a[2 * i] - b[2 * i], a[2 * i + 1] - b[2 * i + 1]) for i in range(4)])
 
 
 def corner_residual(h_a: Column, h_b: Column) -> Column:
     """Largest distance, in yards, of the projected probe corners."""
-    return corner_gap(corners(h_a), corners(h_b))
+    gaps = []
+    for u, v in probe_corners():
+        xa, ya = project(h_a, F.lit(u), F.lit(v), "clamp9")
+        xb, yb = project(h_b, F.lit(u), F.lit(v), "clamp9")
+        gaps.append(F.hypot(xa - xb, ya - yb))
+    return F.when(h_a.isNotNull() & h_b.isNotNull(), F.greatest(*gaps))
 
 
 def _radial(x, y, k):

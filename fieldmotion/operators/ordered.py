@@ -140,9 +140,11 @@ def numbered(df: DataFrame, keys: Sequence[str], pos: str, name: str,
 
 def run_bounds(df: DataFrame, keys: Sequence[str], pos: str, inside: Column,
                start: str = "run_start", end: str = "run_end",
+               counts: Mapping[str, Column] | None = None,
                bits: int = PIECE_BITS) -> DataFrame:
     """For rows where ``inside`` holds, the [start, end) of their run of consecutive
-    positions; NULL elsewhere."""
+    positions; NULL elsewhere. ``counts`` adds running sums from both ends in the same
+    pass, as ``name_upto`` and ``name_from`` (both inclusive)."""
     flagged = df.withColumn("_in", F.coalesce(inside, F.lit(False)))
 
     def edges(w):
@@ -154,8 +156,21 @@ def run_bounds(df: DataFrame, keys: Sequence[str], pos: str, inside: Column,
         }
 
     marked = bounded(flagged, keys, pos, 1, 1, edges, bits)
-    spans = running(marked, keys, pos, {start: ("max", F.col("_s"))},
-                    {end: ("min", F.col("_e"))}, bits)
+    sums = {n: ("sum", v) for n, v in (counts or {}).items()}
+    spans = running(marked, keys, pos,
+                    {start: ("max", F.col("_s")), **{n + "_upto": v for n, v in sums.items()}},
+                    {end: ("min", F.col("_e")), **{n + "_from": v for n, v in sums.items()}}, bits)
     return spans.withColumns(
         {start: F.when(F.col("_in"), F.col(start)), end: F.when(F.col("_in"), F.col(end))}
     ).drop("_in", "_s", "_e")
+
+
+def with_totals(df: DataFrame, keys: Sequence[str], pos: str, sums: Mapping[str, Column],
+                bits: int = PIECE_BITS) -> DataFrame:
+    """Add per-key totals to every row, joining on (key, piece) so that a hot key is
+    spread like in ``running``."""
+    cut = df.withColumn(_PIECE, F.shiftright(F.col(pos).cast("long"), bits))
+    parts = cut.groupBy(*keys, _PIECE).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    whole = Window.partitionBy(*keys)
+    per_piece = parts.select(*keys, _PIECE, *[F.sum(n).over(whole).alias(n) for n in sums])
+    return cut.join(per_piece, [*keys, _PIECE]).drop(_PIECE)
