@@ -81,7 +81,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column,
         F.col("q.lo").alias("_lo"), F.col("q.hi").alias("_hi"))
     if keys:
         salted = vals.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(spread)))
-        wide = asked_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).cast("long"))
+        wide = asked_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
         paired = salted.join(wide, [*keys, "_salt"])
     else:
         # one row per requested percentile: the broadcast side has len(probs) rows
