@@ -17,7 +17,7 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     Rows are first cut to ``n`` per (group, salt), so the final window sees at most
     ``n * spread`` rows of a group however large the group is.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(spread)))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(spread)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     last = Window.partitionBy(*keys).orderBy(*order)
     return (

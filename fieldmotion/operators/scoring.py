@@ -10,6 +10,7 @@ from fieldmotion.functions.geometry import project
 from fieldmotion.functions.quality import readiness
 from fieldmotion.operators.ordered import numbered
 from fieldmotion.operators.ranking import exact_percentiles
+from fieldmotion.operators.reliable import stage
 from fieldmotion.operators.runs import speed_and_accel
 
 STRIDE = 3  # our frames per truth frame
@@ -152,6 +153,7 @@ def score_pairs(ours: DataFrame, truth: DataFrame, snaps: DataFrame, pairs: Data
 def summarise_scores(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Median and mean of the seven headline metrics."""
     keys = keys or []
+    scores = stage(scores)  # one row per pair, read three times below
     long = scores.unpivot(keys, METRICS, "metric", "value")
     med = exact_percentiles(long, [*keys, "metric"], F.col("value"), {"median": 0.5})
     mean = long.groupBy(*keys, "metric").agg(F.avg("value").alias("mean"))

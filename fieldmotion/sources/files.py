@@ -86,12 +86,13 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=", ".join(f"{c} {kind(c)}" for c in SCORE_COLUMNS))
 
 
-def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Entries and camera intrinsics of a manifest document: (entries, intrinsics)."""
+def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Entries and camera intrinsics of manifest documents: (entries, intrinsics). A big
+    manifest is better kept as one document per line (``multi_line=False``)."""
     entry = T.StructType([T.StructField("clip", T.StringType()), *ENTRY.fields])
     schema = T.StructType([T.StructField("entries", T.ArrayType(entry)),
                            T.StructField("intrinsics_by_clip", T.MapType(T.StringType(), INTRINSICS))])
-    doc = spark.read.json(path, schema=schema, multiLine=True)
+    doc = spark.read.json(path, schema=schema, multiLine=multi_line)
     entries = doc.select(F.explode("entries").alias("e")).select("e.*")
     cameras = doc.select(F.explode("intrinsics_by_clip").alias("clip", "i")).select("clip", "i.K", "i.dist")
     return entries, cameras
@@ -119,8 +120,8 @@ def ledger_rows(doc: DataFrame) -> DataFrame:
     return rows.select(part[0].alias("clip"), part[1].cast("int").alias("frame_idx"), "decision")
 
 
-def read_blacklist(spark: SparkSession, path: str) -> DataFrame:
-    doc = spark.read.json(path, schema="bad_gt_keys array<string>", multiLine=True)
+def read_blacklist(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    doc = spark.read.json(path, schema="bad_gt_keys array<string>", multiLine=multi_line)
     return doc.select(F.explode("bad_gt_keys").alias("frame_key"))
 
 
@@ -132,10 +133,14 @@ def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_box_labels(spark: SparkSession, path: str) -> DataFrame:
     """Normalised box labels, one text file per image named after it."""
+    return box_label_rows(spark.read.text(path), F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1))
+
+
+def box_label_rows(lines: DataFrame, image: Column) -> DataFrame:
+    """Lines ``class cx cy w h`` to rows; blank lines are skipped."""
     part = F.split(F.trim("value"), r"\s+")
-    image = F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1)
     names = ["cx", "cy", "w", "h"]
-    return (spark.read.text(path).where(F.trim("value") != "")
+    return (lines.where(F.trim("value") != "")
             .select(image.alias("image"), part[0].cast("int").alias("class_id"),
                     *[part[i + 1].cast("double").alias(n) for i, n in enumerate(names)]))
 
