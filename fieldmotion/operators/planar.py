@@ -40,20 +40,34 @@ def mapped(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return q[:, :2] / w
 
 
+def _four_point_fits(src: np.ndarray, dst: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Homographies (h33 = 1) through many four-point draws at once."""
+    a, ta = _normalise(src)
+    b, tb = _normalise(dst)
+    p, q = a[draws], b[draws]
+    one, zero = np.ones((*draws.shape, 1)), np.zeros((*draws.shape, 3))
+    top = np.concatenate([p, one, zero, -q[..., :1] * p], axis=2)
+    low = np.concatenate([zero, p, one, -q[..., 1:] * p], axis=2)
+    system = np.concatenate([top, low], axis=1) + 1e-12 * np.eye(8)
+    flat = np.linalg.solve(system, np.concatenate([q[..., 0], q[..., 1]], axis=1)[..., None])[..., 0]
+    h = np.concatenate([flat, np.ones((len(draws), 1))], axis=1).reshape(-1, 3, 3)
+    return np.linalg.inv(tb) @ h @ ta
+
+
 def consensus_fit(src: np.ndarray, dst: np.ndarray, seed: int, reach: float = REACH, rounds: int = 64):
     """Best-supported homography over seeded four-point draws, refitted on its support:
     (h, inlier mask) or (None, None)."""
     rng = np.random.default_rng(seed)
-    best = np.zeros(len(src), dtype=bool)
+    draws = np.argsort(rng.random((rounds, len(src))), axis=1)[:, :4]
+    trials = _four_point_fits(src, dst, draws)
+    q = np.einsum("tij,nj->tni", trials, np.column_stack([src, np.ones(len(src))]))
+    with np.errstate(all="ignore"):
+        error = np.linalg.norm(q[..., :2] / q[..., 2:] - dst, axis=2)
+    near = np.nan_to_num(error, nan=np.inf) <= reach
     whole = plane_fit(src, dst)
-    trials = [whole] if whole is not None else []
-    trials += [plane_fit(src[i], dst[i]) for i in (rng.choice(len(src), 4, replace=False) for _ in range(rounds))]
-    for h in trials:
-        if h is None or not np.isfinite(h).all():
-            continue
-        near = np.linalg.norm(mapped(h, src) - dst, axis=1) <= reach
-        if near.sum() > best.sum():
-            best = near
+    if whole is not None:
+        near = np.vstack([near, np.linalg.norm(mapped(whole, src) - dst, axis=1) <= reach])
+    best = near[np.argmax(near.sum(axis=1))]
     if best.sum() < 4:
         return None, None
     h = plane_fit(src[best], dst[best])
