@@ -136,7 +136,7 @@ def spacing_outliers(fits: DataFrame, limit: float = 25.0, min_fits: int = 3, ke
     def drop_worst(arr, _):
         n = F.size(arr).cast("double")
         mc, mx = total(arr, lambda p: p["c"]) / n, total(arr, lambda p: p["x"]) / n
-        m = total(arr, lambda p: (p["c"] - mc) * (p["x"] - mx)) / total(arr, lambda p: (p["c"] - mc) * (p["c"] - mc))
+        m = F.try_divide(total(arr, lambda p: (p["c"] - mc) * (p["x"] - mx)), total(arr, lambda p: (p["c"] - mc) * (p["c"] - mc)))
         scored = F.transform(arr, lambda p: F.struct(F.abs(p["x"] - mx - m * (p["c"] - mc)).alias("r"), (-p["c"]).alias("k")))
         worst = F.array_max(scored)
         bad = (F.size(arr) >= min_fits) & (worst["r"] > limit)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmotion.operators.ordered import PIECE_BITS, numbered, with_totals
+from fieldmotion.operators.reliable import spread
 
 TRACK = ["clip", "track_id"]
 
@@ -152,6 +153,6 @@ def kalman_track(points: DataFrame, x: str = "x", y: str = "y", measured: str =
     starts = chained.groupBy(*TRACK).applyInPandas(_chain, f"clip string, track_id bigint, piece int, {_STATE}")
     by = [*TRACK, "piece"]
     inputs = live.select(*by, "frame_idx", "ok", "x", "y", "born")
-    return inputs.groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(
+    return spread(inputs, *by).groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(
         lambda a, b: _filter_piece(a, b) if len(a) else pd.DataFrame(columns=["clip", "track_id", "frame_idx", "fx", "fy", "vx", "vy", "var"]),
         "clip string, track_id bigint, frame_idx int, fx double, fy double, vx double, vy double, var double")

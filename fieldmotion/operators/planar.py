@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldmotion.functions.geometry import project
 from fieldmotion.operators.rejects import degenerate
+from fieldmotion.operators.reliable import spread
 
 FRAME = ["clip", "frame_idx"]
 REACH = 4.0  # field units within which a correspondence supports a fit
@@ -91,7 +92,7 @@ def fit_homography(corrs: DataFrame) -> DataFrame:
     """
     usable = corrs.join(degenerate(corrs).where(~F.col("degenerate")).select(*FRAME), FRAME, "left_semi")
     slim = usable.select(*FRAME, "corr_id", "u", "v", "fx", "fy")
-    fits = slim.groupBy(*FRAME).applyInPandas(_fit_frame, "clip string, frame_idx int, corr_id string, h array<double>, inlier boolean")
+    fits = spread(slim, *FRAME).groupBy(*FRAME).applyInPandas(_fit_frame, "clip string, frame_idx int, corr_id string, h array<double>, inlier boolean")
     x, y = project(F.col("h"), F.col("u"), F.col("v"), "clamp")
     scored = slim.join(fits, [*FRAME, "corr_id"]).withColumn("_e", F.hypot(x - F.col("fx"), y - F.col("fy")))
     good = F.when(F.col("inlier"), F.col("_e"))

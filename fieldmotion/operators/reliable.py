@@ -25,3 +25,10 @@ def stage(df: DataFrame) -> DataFrame:
     """Materialise a stage that several later steps read."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows to the session's full number of shuffle partitions, so that groups that
+    are small in bytes but costly to compute are not merged into few tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

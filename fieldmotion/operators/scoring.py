@@ -138,8 +138,8 @@ def score_pairs(ours: DataFrame, truth: DataFrame, snaps: DataFrame, pairs: Data
         return F.sqrt(F.avg(c * c))
 
     def corr(a, b):
-        varied = (F.stddev_pop(a) > 1e-6) & (F.stddev_pop(b) > 1e-6)
-        return F.when(varied, F.corr(a, b))
+        sa, sb = F.stddev_pop(a), F.stddev_pop(b)
+        return F.when((sa > 1e-6) & (sb > 1e-6), F.try_divide(F.covar_pop(a, b), sa * sb))
 
     return moves.groupBy(*keys).agg(
         F.count("*").alias("n_obs"), rmse(e).alias("pos_rmse_yd"), F.avg(e).alias("pos_mean_yd"),

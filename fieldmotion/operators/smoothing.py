@@ -133,7 +133,8 @@ def _quadratic_weights(n, s1, s2, s3, s4):
     """(c0, c1, c2) such that sum((c0 + c1 x + c2 x^2) y) is the fitted value at x = 0."""
     a, b, c = s2 * s4 - s3 * s3, s2 * s3 - s1 * s4, s1 * s3 - s2 * s2
     det = n * a + s1 * b + s2 * c
-    return a / det, b / det, c / det
+    # three or more distinct neighbours give det > 0; fewer give NULL
+    return F.try_divide(a, det), F.try_divide(b, det), F.try_divide(c, det)
 
 
 def _axpy(total: Column, cells: Column, weight: Column) -> Column:

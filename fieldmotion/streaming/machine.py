@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from fieldmotion.operators.reliable import spread
+
 Step = Callable[[dict, int, pd.DataFrame], list[dict]]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -96,7 +98,7 @@ def run_batch(rows: DataFrame, step: Step, schema: str) -> DataFrame:
                 clip, state = rest["clip"].iloc[0], {}
             yield advance(step, state, clip, rest, names)
 
-    ordered = rows.repartition("clip").sortWithinPartitions("clip", "frame_idx")
+    ordered = spread(rows, "clip").sortWithinPartitions("clip", "frame_idx")
     return ordered.mapInPandas(walk, out)
 
 
