@@ -68,7 +68,11 @@ class ClipProcessor(StatefulProcessor):
 
 
 def run_stream(rows: DataFrame, step: Step, schema: str, idle_ms: int | None = None) -> DataFrame:
-    """Streaming output of the step over a stream of rows with clip and frame_idx."""
+    """Streaming output of the step over a stream of rows with clip and frame_idx.
+
+    ``idle_ms`` sets a processing-time timer per clip; it keeps the query running, so use
+    it with a continuous trigger, not with ``availableNow``.
+    """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out = _columns(schema)
     return rows.groupBy("clip").transformWithStateInPandas(

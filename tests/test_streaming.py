@@ -55,7 +55,7 @@ def test_streak_stream_equals_batch_and_finds_the_loss(spark, tmp_path):
     rows = [("a", f, "carry" if f in (3, 4, 8, 9, 10, 11) else "full") for f in range(30)]
     d = spark.createDataFrame(rows, "clip string, frame_idx int, method string")
     batch = C.carry_streak(d)
-    stream = drain(C.carry_streak(live(spark, d, str(tmp_path / "in")), idle_ms=3_600_000), str(tmp_path / "run"))
+    stream = drain(C.carry_streak(live(spark, d, str(tmp_path / "in"))), str(tmp_path / "run"))
     assert same(batch, stream) and batch.agg(F.min("lost_from")).first()[0] == 8
 
 
