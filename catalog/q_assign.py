@@ -104,7 +104,7 @@ k AS (SELECT clip, track_id, frame_idx, zx AS x, zy AS y, 0e0 AS vx, 0e0 AS vy,
       FROM k JOIN p n ON n.clip = k.clip AND n.track_id = k.track_id AND n.frame_idx = k.frame_idx + 1)))
 SELECT clip, track_id, frame_idx, {R6('x')} AS fx, {R6('y')} AS fy, {R6('vx')} AS vx, {R6('vy')} AS vy, {R6('p11')} AS var FROM k""")
 def kalman_track(t):
-    d = K.kalman_track(t.points, "xs", "y", bits=5)
+    d = K.kalman_track(t.points, "xs", "y")
     return d.select("clip", "track_id", "frame_idx", *[r6(k).alias(k) for k in ("fx", "fy", "vx", "vy", "var")])
 
 

@@ -12,6 +12,7 @@ from fieldmotion.functions.field import kind_y, slot_x
 from fieldmotion.functions.geometry import project, unproject
 from fieldmotion.operators.ordered import PIECE_BITS, bounded, running
 from fieldmotion.operators.rejects import near_pairs
+from fieldmotion.operators.reliable import stage
 
 IDENTITY = ["clip", "kind", "slot"]
 MAX_IDLE = 8
@@ -33,7 +34,7 @@ def identity_history(corrs: DataFrame, min_obs: int = 3, max_idle: int = MAX_IDL
                 "prev_u": F.lag("last_u").over(w), "prev_v": F.lag("last_v").over(w), "_next": F.lead("frame_idx").over(w)}
 
     reach = max_idle + 1
-    cut = bounded(seen, IDENTITY, "frame_idx", reach, reach, gaps, bits)
+    cut = stage(bounded(seen, IDENTITY, "frame_idx", reach, reach, gaps, bits))  # two carry passes follow
     counted = running(cut, IDENTITY, "frame_idx", {"_n": ("sum", F.col("n_frame")), "first_seen": ("max", F.when(F.col("_born"), F.col("frame_idx")))}, bits=bits)
     based = running(counted, IDENTITY, "frame_idx", {"_base": ("max", F.when(F.col("_born"), F.col("_n") - F.col("n_frame")))}, bits=bits)
     out = based.withColumn("n_obs", (F.col("_n") - F.col("_base")).cast("int")).withColumn("trusted", F.col("n_obs") >= min_obs)
@@ -70,6 +71,7 @@ def prefilter_corrs(corrs: DataFrame, history: DataFrame, min_trust: int = 3, cr
     Exact when every frame observes its correspondences; the streaming bank covers the
     case where frames without a homography do not.
     """
+    history = stage(history)
     states = states_before(history.withColumn("trusted", F.col("n_obs") >= min_trust))
     crossed = cross_conflicts(corrs, states, cross_px).select("corr_id").withColumn("_cross", F.lit(True))
     own = history.select(*IDENTITY, "frame_idx", "prev_obs", "prev_u", "prev_v", F.col("first_seen").alias("_first"))

@@ -102,28 +102,30 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _filter_piece(pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-    """Predict every frame and correct the measured ones, from the piece's start state."""
+def _filter_piece(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Predict every frame and correct the measured ones, from the piece's start state
+    (NULL when the track has one piece and starts at its birth)."""
     pdf = pdf.sort_values("frame_idx")
-    f, q, r = _model()
-    if len(starts):
-        mean, cov = np.array(starts["mean"].iloc[0]).reshape(2, 2), np.array(starts["cov"].iloc[0]).reshape(2, 2)
+    dt, (q11, q12, _, q22), r = 1.0 / FPS, _model()[1].ravel(), MEASURE**2
+    if pdf["mean"].iloc[0] is not None:
+        px, py, vx, vy = pdf["mean"].iloc[0]
+        p11, p12, _, p22 = pdf["cov"].iloc[0]
     else:
-        mean, cov = np.array([[pdf["x"].iloc[0], pdf["y"].iloc[0]], [0.0, 0.0]]), np.diag([MEASURE**2, VELOCITY_VAR])
-    out = np.empty((len(pdf), 5))
-    born = pdf["born"].iloc[0]
-    for i, (frame, ok, x, y) in enumerate(zip(pdf["frame_idx"], pdf["ok"], pdf["x"], pdf["y"])):
+        px, py, vx, vy = pdf["x"].iloc[0], pdf["y"].iloc[0], 0.0, 0.0
+        p11, p12, p22 = r, 0.0, VELOCITY_VAR
+    born, out = pdf["born"].iloc[0], []
+    for frame, ok, x, y in zip(pdf["frame_idx"], pdf["ok"], pdf["x"], pdf["y"]):
         if frame > born:
-            mean, cov = f @ mean, f @ cov @ f.T + q
+            px, py = px + dt * vx, py + dt * vy
+            p11, p12, p22 = p11 + dt * (2 * p12 + dt * p22) + q11, p12 + dt * p22 + q12, p22 + q22
             if ok:
-                gain = cov[:, :1] / (cov[0, 0] + r)
-                mean = mean + gain @ (np.array([[x, y]]) - mean[:1])
-                cov = cov - gain @ cov[:1]
-        out[i] = (*mean.ravel(), cov[0, 0])
-    res = pdf[["clip", "track_id", "frame_idx"]].copy()
-    for i, c in enumerate(("fx", "fy", "vx", "vy", "var")):
-        res[c] = out[:, i]
-    return res
+                g1, g2 = p11 / (p11 + r), p12 / (p11 + r)
+                ex, ey = x - px, y - py
+                px, py, vx, vy = px + g1 * ex, py + g1 * ey, vx + g2 * ex, vy + g2 * ey
+                p11, p12, p22 = p11 * (1 - g1), p12 * (1 - g1), p22 - g2 * p12
+        out.append((px, py, vx, vy, p11))
+    res = pdf[["clip", "track_id", "frame_idx"]].reset_index(drop=True)
+    return res.join(pd.DataFrame(out, columns=["fx", "fy", "vx", "vy", "var"]))
 
 
 def kalman_track(points: DataFrame, x: str = "x", y: str = "y", measured: str = "measured", bits: int = 10) -> DataFrame:
@@ -152,7 +154,6 @@ def kalman_track(points: DataFrame, x: str = "x", y: str = "y", measured: str =
     chained = births.where("long").join(maps, [*TRACK, "piece"], "left").withColumn("element", F.coalesce("element", unit)).select(*TRACK, "piece", "x0", "y0", "element")
     starts = chained.groupBy(*TRACK).applyInPandas(_chain, f"clip string, track_id bigint, piece int, {_STATE}")
     by = [*TRACK, "piece"]
-    inputs = live.select(*by, "frame_idx", "ok", "x", "y", "born")
-    return spread(inputs, *by).groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(
-        lambda a, b: _filter_piece(a, b) if len(a) else pd.DataFrame(columns=["clip", "track_id", "frame_idx", "fx", "fy", "vx", "vy", "var"]),
-        "clip string, track_id bigint, frame_idx int, fx double, fy double, vx double, vy double, var double")
+    inputs = live.select(*by, "frame_idx", "ok", "x", "y", "born").join(starts, by, "left")
+    return spread(inputs, *by).groupBy(*by).applyInPandas(
+        _filter_piece, "clip string, track_id bigint, frame_idx int, fx double, fy double, vx double, vy double, var double")
