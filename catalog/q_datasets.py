@@ -223,12 +223,12 @@ def contaminated(t):
 
 
 @query("degenerate", """
-WITH r AS (SELECT clip, frame_idx, round_even(fy/0.5e0, 0) AS b, count(*) AS c FROM fx_corrs WHERE slot < 8 GROUP BY ALL),
-k AS (SELECT clip, frame_idx, round_even(fx/0.5e0, 0) AS b, count(*) AS c FROM fx_corrs WHERE slot < 8 GROUP BY ALL)
+WITH r AS (SELECT clip, frame_idx, round_even(fy/0.5e0, 0) AS b, count(*) AS c FROM fx_corrs GROUP BY ALL),
+k AS (SELECT clip, frame_idx, round_even(fx/0.5e0, 0) AS b, count(*) AS c FROM fx_corrs GROUP BY ALL)
 SELECT clip, frame_idx, CAST(n AS BIGINT) AS n_points, CAST(least(n - mr, n - mk) AS BIGINT) AS fewest_off, n < 4 OR least(n - mr, n - mk) < 2 AS degenerate
 FROM (SELECT clip, frame_idx, sum(c) AS n, max(c) AS mr FROM r GROUP BY ALL) JOIN (SELECT clip, frame_idx, max(c) AS mk FROM k GROUP BY ALL) USING (clip, frame_idx)""")
 def degenerate(t):
-    return X.degenerate(t.corrs.where("slot < 8"))
+    return X.degenerate(t.corrs)
 
 
 @query("inside_token", "SELECT corr_id, u BETWEEN 100-30 AND 700+30 AND v BETWEEN 90-30 AND 400+30 AS inside FROM fx_corrs")
