@@ -22,10 +22,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmotion.llm.common import stored
+from fieldmotion.llm.common import parallelism, stored
 from fieldmotion.llm.shingles import shingle_sets
 
 #: Bytes of text hashed at once, and shingles sorted at once, in one task.
@@ -36,7 +36,9 @@ GROUP = 2_000_000
 HOT_SHARE, HOT_MOST = 256, 1 << 20
 LONGEST = 8
 #: Leader rounds go on while each links at least one in so many of the classes left.
-LEAST_GAIN = 16
+LEAST_GAIN = 50
+#: Leaders that a class is compared with in one round.
+LEADERS = 2
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -106,24 +108,25 @@ def hot_shingles(rows: DataFrame, n_classes: int, n_shingles: int) -> tuple[np.n
 
 def _planes(x: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of each number, byte by byte, which compresses when sorted."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unplanes(raw: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+def _unplanes(raw: bytes, width: int, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view("<u8").reshape(-1)
 
 
 def postings(docs: DataFrame, k: int, groups: int, hot: np.ndarray) -> DataFrame:
-    """(bucket, tokens, owner, sigs, sizes): the shingles of a task's classes by hash range.
+    """(bucket, entries, tokens, owner, sigs, sizes): the shingles of a task's classes by hash range.
 
     ``owner`` points into ``sigs``. Negative buckets hold the hot shingles, spread by task
     chunk and not by value. Classes of fewer than k words take no part: they have one
     shingle that nothing but an equal sequence has.
     """
-    names = ["bucket", "tokens", "owner", "sigs", "sizes"]
+    names = ["bucket", "entries", "tokens", "owner", "sigs", "sizes"]
 
     def flush(seen: dict[int, np.ndarray], salt: int) -> pa.RecordBatch:
         sigs = np.array(list(seen), np.uint64)
@@ -134,7 +137,7 @@ def postings(docs: DataFrame, k: int, groups: int, hot: np.ndarray) -> DataFrame
 
         def add(bucket: int, t: np.ndarray, o: np.ndarray) -> None:
             used, o = np.unique(o, return_inverse=True)
-            rows.append((bucket, _planes(t, 7), _planes(o, 3), sigs[used].tobytes(), sizes[used].tobytes()))
+            rows.append((bucket, len(t), _planes(t, 7), _planes(o, 3), sigs[used].tobytes(), sizes[used].tobytes()))
 
         if is_hot.any():
             add(-1 - salt % groups, tokens[is_hot], owner[is_hot])
@@ -145,7 +148,7 @@ def postings(docs: DataFrame, k: int, groups: int, hot: np.ndarray) -> DataFrame
         for i in range(groups):
             if edges[i] < edges[i + 1]:
                 add(i, tokens[edges[i] : edges[i + 1]], owner[edges[i] : edges[i + 1]])
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
@@ -162,7 +165,7 @@ def postings(docs: DataFrame, k: int, groups: int, hot: np.ndarray) -> DataFrame
         if seen:
             yield flush(seen, next(iter(seen)) >> 8)
 
-    return docs.select("text").mapInArrow(run, "bucket int, tokens binary, owner binary, sigs binary, sizes binary")
+    return docs.select("text").mapInArrow(run, "bucket int, entries int, tokens binary, owner binary, sigs binary, sizes binary")
 
 
 def shared(posted: DataFrame, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame:
@@ -171,8 +174,8 @@ def shared(posted: DataFrame, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame:
     def decode(d: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         tokens, sigs, sizes = [], [], []
         for r in d.itertuples():
-            o = _unplanes(r.owner, 3)
-            tokens.append(_unplanes(r.tokens, 7))
+            o = _unplanes(r.owner, 3, r.entries)
+            tokens.append(_unplanes(r.tokens, 7, r.entries))
             sigs.append(np.frombuffer(r.sigs, np.uint64)[o])
             sizes.append(np.frombuffer(r.sizes, np.int64)[o])
         return np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes)
@@ -273,8 +276,9 @@ def components(edges: DataFrame) -> DataFrame:
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the classes that are linked with another."""
     prefix = stored(
-        sets.select("sig", "n", "m", "base", F.posexplode(F.slice("tokens", F.lit(1), F.least(F.size("tokens"), F.col("base") + F.col("m") - 1))).alias("pos", "token"))
-        .select("token", "sig", "n", "m", F.greatest(F.lit(1), F.col("pos") + 2 - F.col("base")).alias("level")), "prefixes")
+        sets.select("sig", "n", "m", (F.col("n") - F.size("tokens")).alias("unique"),
+                    F.posexplode(F.slice("tokens", F.lit(1), F.least(F.size("tokens"), F.col("base") + F.col("m") - 1))).alias("pos", "token"))
+        .select("token", "sig", "n", "m", (F.col("unique") + F.col("pos") + 1).alias("place")), "prefixes")
     label, turn, leaders = None, 0, True
     while True:
         p = prefix.withColumn("comp", F.col("sig")) if label is None else (
@@ -294,23 +298,39 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def leader_pairs(live: DataFrame, percent: int, turn: int) -> DataFrame:
-    """One pair a class: with the leader it shares most prefix tokens with. The leader of
-    a token is the least of its classes in an order that changes with the turn."""
-    order = F.xxhash64("sig", F.lit(turn))
+    """At most LEADERS pairs a class, linear in the rows whatever a token's classes: every
+    token has one leader, another for each token and turn, so that the classes of a large
+    group meet like a random graph, which few rounds connect."""
+    order = F.xxhash64("sig", "token", F.lit(turn))
     lead = live.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("sig").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"))).alias("l")).select("token", "l.a", "l.ac", "l.an")
     pairs = (live.join(lead, "token").where((F.col("comp") != F.col("ac")) & _compatible("n", "an", percent))
              .groupBy(F.col("sig").alias("b"), "a").agg(F.count("*").alias("c")))
-    return pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("t")).select(F.col("t.a").alias("a"), "b")
+    first = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), F.xxhash64("a", "b", F.lit(turn))))
+    return pairs.withColumn("_r", first).where(F.col("_r") <= LEADERS).select("a", "b")
 
 
 def all_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """Every pair of classes in different components that shares the smaller m of the two
-    within the prefixes for that m."""
-    x = live.select("token", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("level").alias("al"), F.col("comp").alias("ac"))
-    y = live.select("token", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("m").alias("bm"), F.col("level").alias("bl"), F.col("comp").alias("bc"))
+    """Every pair of classes in different components that can still be similar enough.
+
+    A pair meets in the tokens of both prefixes; of the smaller set the shorter prefix
+    does that holds for partners no smaller. It must share the smaller m of the two, and
+    what it shares, with all that may follow the prefixes or the last shared token, must
+    reach the overlap it needs.
+    """
+    side = lambda x: [F.col("sig").alias(x), *[F.col(c).alias(x + c) for c in ("n", "m", "place", "comp")]]
+    x, y = live.select("token", *side("a")), live.select("token", *side("b"))
     m = F.least("am", "bm")
-    met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _compatible("an", "bn", percent) & (F.col("al") <= m) & (F.col("bl") <= m))
-    return met.groupBy("a", "b", m.alias("m")).agg(F.count("*").alias("c")).where("c >= m").select("a", "b")
+    short = lambda n: n - F.ceil(n * 2 * percent / (100 + percent)) + m
+    long = lambda n: n - F.ceil(n * percent / 100) + m
+    a_less = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
+    met = x.join(y, "token").where(
+        a_less & (F.col("acomp") != F.col("bcomp")) & _compatible("an", "bn", percent)
+        & (F.col("aplace") <= short(F.col("an"))) & (F.col("bplace") <= long(F.col("bn"))))
+    c, need = F.col("c"), F.ceil((F.col("an") + F.col("bn")) * percent / (100 + percent))
+    rest_a, rest_b = F.col("an") - short(F.col("an")), F.col("bn") - long(F.col("bn"))
+    most = c + F.greatest(F.least(rest_a, F.col("bn") - F.col("bl")), F.least(rest_b, F.col("an") - F.col("al")))
+    return (met.groupBy("a", "b", "an", "bn", "am", "bm").agg(F.count("*").alias("c"), F.max("aplace").alias("al"), F.max("bplace").alias("bl"))
+            .where((c >= m) & (most >= need)).select("a", "b"))
 
 
 def merged(label: DataFrame | None, found: DataFrame) -> DataFrame:
@@ -337,7 +357,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     members = rows.where("hot is null").select("doc_id", "sig", "n")
     each = stored(members.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "class-sizes")
     size = each.agg(F.count("*").alias("classes"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
-    groups = max(1, -(-size["shingles"] // GROUP))
+    groups = max(parallelism(docs), -(-size["shingles"] // GROUP))
     hot, hot_n = hot_shingles(rows, size["classes"], size["shingles"])
     tokens = shared(postings(docs, k, groups, hot), hot, hot_n)
     sets = stored(linkable(tokens, percent, groups), "sets")
