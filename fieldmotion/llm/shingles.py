@@ -70,3 +70,20 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, list[np.ndarra
         else:
             sets.append(signature[i : i + 1] >> np.uint64(8) if e > s else rolled[:0])
     return signature, sets
+
+
+def word_tails(texts: list[bytes], kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, its kind by its last three bytes, words of each text)."""
+    raw = np.frombuffer(b"\n".join([*(t.lower() for t in texts), b""]), np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    blank = _BLANK[raw]
+    edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    tail = np.zeros(len(starts), np.uint64)
+    for k in (1, 2, 3):
+        at = np.maximum(ends - k, starts)
+        tail = tail * np.uint64(256) + raw[at].astype(np.uint64)
+    kind = (mixed(tail) % np.uint64(kinds)).astype(np.int64)
+    return _spans(_BYTES[raw], starts, ends), kind, np.diff(np.searchsorted(starts, np.concatenate([[0], bounds])))
