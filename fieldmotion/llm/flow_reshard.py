@@ -108,25 +108,27 @@ def reshard(docs: DataFrame, size: Column, key: Column, tie: Column, old: Column
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
-    """(row, size, old, shard, slot): slots count from 0 without gaps in every shard."""
+    """(row, size, old, shard, slot): slots count from 0 without gaps in every shard.
+
+    First slots are joined by (old shard, part) alone, by which the rows, texts included,
+    are dealt already: a part has one entry for each shard it goes to, hardly ever two.
+    """
     counts = stored(placed.groupBy("shard", "_old", "_p", "_q").agg(F.count("*").alias("_n")), "reshard-counts")
     before = Window.partitionBy("shard").orderBy("_old", "_p", "_q").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    starts = (counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+              .groupBy("_old", "_p", "_q").agg(F.map_from_entries(F.collect_list(F.struct("shard", "_first"))).alias("_firsts")))
     inside = Window.partitionBy("shard", "_old", "_p", "_q").orderBy("_k", "_t", "_size")
-    return (placed.withColumn("_nth", F.row_number().over(inside) - 1).join(starts, ["shard", "_old", "_p", "_q"])
-            .select("row", F.col("_size").alias("size"), F.col("_old").alias("old"), "shard", (F.col("_first") + F.col("_nth")).alias("slot")))
+    return (placed.withColumn("_nth", F.row_number().over(inside) - 1).join(starts, ["_old", "_p", "_q"])
+            .select("row", F.col("_size").alias("size"), F.col("_old").alias("old"), "shard", (F.col("_firsts")[F.col("shard")] + F.col("_nth")).alias("slot")))
 
 
-def rewrite(numbered: DataFrame, affected: list[int], path: str) -> DataFrame:
+def rewrite(numbered: DataFrame, affected: list[int], n_new: int, path: str) -> DataFrame:
     """Write the affected shards to path/shard=j and return all rows: those as read back
     from the new files, and the untouched ones."""
     changed = F.col("shard").isin(affected) if affected else F.lit(False)
     numbered.where(changed).write.partitionBy("shard").parquet(path)
-    spark = numbered.sparkSession
-    files = spark.read.schema(numbered.schema).parquet(path)
-    if len(affected) and affected == list(range(max(affected) + 1)) and numbered.where(~changed).isEmpty():
-        return files
-    return files.unionByName(numbered.where(~changed))
+    files = numbered.sparkSession.read.schema(numbered.schema).parquet(path)
+    return files if len(affected) == n_new else files.unionByName(numbered.where(~changed))
 
 
 def text_bytes(text: Column) -> Column:
@@ -139,6 +141,6 @@ def op6_query(spark, sf_dir: str) -> DataFrame:
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(6))
     plan = reshard(docs, text_bytes(F.col("text")), F.col("text"), F.col("doc_id"), old, 6, 8)
     digest = F.crc32(F.coalesce("row.text", F.lit("")).cast("binary"))
-    files = rewrite(with_slots(plan.rows), plan.affected, f"{checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}")
+    files = rewrite(with_slots(plan.rows), plan.affected, 8, f"{checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}")
     return files.select(F.col("row.doc_id").alias("doc_id"), "size", digest.alias("text_crc32"), F.lit("bytes").alias("law"),
                         F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
