@@ -124,7 +124,8 @@ def learn(docs: DataFrame, dim: int = DIM, text: str = "text", lang: str = "lang
             for i, j in _chunks(texts):
                 for k, v in bundle_by(texts[i:j], langs[i:j], dim).items():
                     total[k] = total[k] + v if k in total else v
-        yield pd.DataFrame({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
+        if total:
+            yield pd.DataFrame({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
 
     got = (rows.mapInPandas(sums, "lang string, vector array<double>").select("lang", F.posexplode("vector"))
            .groupBy("lang", "pos").agg(F.sum("col").alias("v")).collect())

@@ -82,6 +82,8 @@ BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 
 VOTES = (-1, 0, 1)
+#: How a rule is expected to vote on good and on bad documents before any are seen.
+PRIOR_VOTES = ({-1: 0.02, 0: 0.49, 1: 0.49}, {-1: 0.3, 0: 0.35, 1: 0.35})
 
 
 @dataclass(frozen=True)
@@ -99,13 +101,14 @@ class Supervision:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, start: float = 0.9, smoothing: float = 1.0,
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, start: float = 0.9, pseudo: float = 20.0,
               tol: float = 1e-9, most: int = 500) -> Supervision:
     """Expectation-maximisation over (votes, count) until no posterior moves.
 
     It starts from the belief that a document with any bad vote is bad with probability
-    ``start`` and any other good with that probability. Counts are smoothed, so a rule
-    that never votes says nothing, and an empty table gives weights of 0.
+    ``start`` and any other good with that probability. ``pseudo`` imagined documents of
+    each class, PRIOR_VOTES, are added to the counts: they decide on a small or empty
+    table and weigh nothing on a large one.
     """
     belief = [1 - start if -1 in votes else start for votes, _ in patterns]
     total = sum(n for _, n in patterns)
@@ -118,12 +121,12 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, start:
             for (votes, n), g in zip(patterns, good, strict=True):
                 on_good[votes[j]] += g
                 on_bad[votes[j]] += n - g
-            share = lambda c, of: {v: (c[v] + smoothing) / (of + 3 * smoothing) for v in VOTES}
-            a, b = share(on_good, n_good), share(on_bad, total - n_good)
+            share = lambda c, of, prior: {v: (c[v] + pseudo * prior[v]) / (of + pseudo) for v in VOTES}
+            a, b = share(on_good, n_good, PRIOR_VOTES[0]), share(on_bad, total - n_good, PRIOR_VOTES[1])
             weights.append({v: math.log(a[v] / b[v]) for v in VOTES})
             cast = on_good[1] + on_good[-1] + on_bad[1] + on_bad[-1]
             accuracy.append((on_good[1] + on_bad[-1]) / cast if cast else None)
-        s = Supervision(tuple(weights), tuple(accuracy), (n_good + smoothing) / (total + 2 * smoothing))
+        s = Supervision(tuple(weights), tuple(accuracy), (n_good + pseudo * start) / (total + pseudo))
         new = [s.posterior(votes) for votes, _ in patterns]
         moved = max((abs(x - y) for x, y in zip(new, belief, strict=True)), default=0.0)
         belief = new
