@@ -47,7 +47,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
         .withColumn("_total", F.lit(float(share)) * F.sum("source_size").over(everything))
         .withColumn("_level", (F.col("_total") - F.col("_capped")) / (F.sum("_w").over(everything) - F.col("_used")))
     )
-    level = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(everything)
+    # Capping one more source raises the level exactly while its ratio is below the level,
+    # so the level that fits is the highest.
+    level = F.max("_level").over(everything)
     return d.withColumn("_final", level).select(
         "source", "source_size",
         F.coalesce(F.least("_cap", F.col("_w") * F.col("_final")), F.col("_cap")).alias("target"),
@@ -115,7 +117,7 @@ r AS (SELECT *, cap / wt AS ratio,
              coalesce(sum(wt) OVER (ORDER BY cap / wt, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS used,
              1.5e0 * CAST(sum(source_size) OVER () AS DOUBLE) AS total, sum(wt) OVER () AS wall FROM w),
 l AS (SELECT *, (total - capped) / (wall - used) AS level FROM r),
-t AS (SELECT source, source_size, coalesce(least(cap, wt * min(CASE WHEN ratio >= level THEN level END) OVER ()), cap) AS target FROM l),
+t AS (SELECT source, source_size, coalesce(least(cap, wt * max(level) OVER ()), cap) AS target FROM l),
 n AS (SELECT d.*, t.source_size, t.target,
              CAST(row_number() OVER (PARTITION BY d.source ORDER BY
                length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)), substr(h, 1, 2), size, h) AS DOUBLE) AS k,

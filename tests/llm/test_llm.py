@@ -221,6 +221,38 @@ def test_mix_agrees_with_sql_and_odd_rows(spark):
     assert systematic_mix.systematic_mix(empty(spark), F.col("size"), F.col("source"), F.col("doc_id")).count() == 0
 
 
+def filled(sizes, weights, share, cap):
+    """Water-filling step by step: split what is left by weight, freeze whoever is above its cap."""
+    target, left = {}, share * sum(sizes.values())
+    open_ = {k: weights[i % len(weights)] for i, k in enumerate(sorted(sizes))}
+    while open_:
+        over = [k for k in open_ if left * open_[k] / sum(open_.values()) > cap * sizes[k]]
+        if not over:
+            return target | {k: left * w / sum(open_.values()) for k, w in open_.items()}
+        for k in over:
+            target[k] = cap * sizes[k]
+        left -= sum(target[k] for k in over)
+        for k in over:
+            del open_[k]
+    return target
+
+
+def test_mix_targets_and_words_taken(spark):
+    for seed in range(4):
+        r = np.random.default_rng(seed)
+        sizes = {f"s{i:02d}": int(r.integers(1, 10 ** r.integers(2, 6))) for i in range(9)}
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {x["source"]: x["target"] for x in systematic_mix.source_targets(df, (5, 2, 1), 1.5, 2.0).collect()}
+        want = filled(sizes, (5, 2, 1), 1.5, 2.0)
+        assert all(abs(got[k] - want[k]) < 1e-6 * max(1, want[k]) for k in sizes)
+        assert abs(sum(got.values()) - 1.5 * sum(sizes.values())) < 1e-6 * sum(sizes.values())
+    per = {}
+    for x in systematic_mix.op8_query(spark, "/root/testdata/sf0.01").collect():
+        assert 0 <= x["taken"] <= 2 * x["size"]
+        per.setdefault((x["source_size"], x["target"]), []).append(x["taken"])
+    assert all(abs(sum(v) - t) < 0.1 * t + 500 for (_, t), v in per.items())
+
+
 def test_quality_measures_against_brute_force(spark):
     docs = odd_docs(spark).select("doc_id", "text").union(spark.createDataFrame(
         [(20, "a b c d e f a b c d e f\nx\nx\n \n\n y# |"), (21, "z " * 50), (22, f"{LINE}\n{LINE}\nother line")], "doc_id long, text string"))
