@@ -36,9 +36,9 @@ GROUP = 2_000_000
 HOT_SHARE, HOT_MOST = 256, 1 << 20
 LONGEST = 8
 #: Leader rounds go on while each links at least one in so many of the classes left.
-LEAST_GAIN = 50
-#: Leaders that a class is compared with in one round.
-LEADERS = 2
+LEAST_GAIN = 200
+#: Leaders of a token, and leaders that a class is compared with, in one round.
+SLOTS, LEADERS = 8, 12
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -210,13 +210,15 @@ def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 def choose_matches(n: int, unique: int, df: np.ndarray, percent: int) -> int:
     """The number m of prefix tokens to share that makes a document's candidates cheapest.
 
-    ``df``: classes of each of its non-unique shingles, ascending. A prefix for m brings
-    one row per posting of its tokens, and at most rows / m pairs to verify.
+    ``df``: classes of each of its non-unique shingles, ascending. The estimate takes a
+    partner of the same size, as most candidates nearly are. A prefix for m brings one
+    row per posting of its tokens, and at most rows / m pairs to verify.
     """
     rows = np.concatenate([[0], np.cumsum(df - 1)])
-    base = n - needed(n, percent) + 1 - unique
-    most = max(1, min(LONGEST, needed(n, percent), len(df) - base + 1))
-    cost = [rows[min(len(df), base + m - 1)] * (1 + (2 + n / 50) / m) for m in range(1, most + 1)]
+    plain = n - needed(n, percent) + 1 - unique
+    equal = n + -2 * n * percent // (100 + percent) + 1 - unique
+    most = max(1, min(LONGEST, needed(n, percent), len(df) - plain + 1))
+    cost = [rows[min(len(df), max(0, equal + m - 1))] * (1 + (1 + n / 100) / m) for m in range(1, most + 1)]
     return 1 + int(np.argmin(cost))
 
 
@@ -278,7 +280,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     prefix = stored(
         sets.select("sig", "n", "m", (F.col("n") - F.size("tokens")).alias("unique"),
                     F.posexplode(F.slice("tokens", F.lit(1), F.least(F.size("tokens"), F.col("base") + F.col("m") - 1))).alias("pos", "token"))
-        .select("token", "sig", "n", "m", (F.col("unique") + F.col("pos") + 1).alias("place")), "prefixes")
+        .select("token", "sig", "n", "m", "unique", (F.col("unique") + F.col("pos") + 1).alias("place")), "prefixes")
     label, turn, leaders = None, 0, True
     while True:
         p = prefix.withColumn("comp", F.col("sig")) if label is None else (
@@ -298,39 +300,43 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def leader_pairs(live: DataFrame, percent: int, turn: int) -> DataFrame:
-    """At most LEADERS pairs a class, linear in the rows whatever a token's classes: every
-    token has one leader, another for each token and turn, so that the classes of a large
-    group meet like a random graph, which few rounds connect."""
-    order = F.xxhash64("sig", "token", F.lit(turn))
-    lead = live.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("sig").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"))).alias("l")).select("token", "l.a", "l.ac", "l.an")
+    """At most LEADERS pairs a class, linear in the rows whatever a token's classes.
+
+    Every token has one leader in each of SLOTS slots of its classes, others in every
+    turn. A class may lead many tokens, so that the count of shared tokens tells the
+    nearest leaders. Even turns favour classes with few shingles of their own, since
+    those are near to most of their group.
+    """
+    chance = (F.shiftrightunsigned(F.xxhash64("sig", F.lit(turn)), 11) + 1) / float(1 << 53)
+    order = chance if turn % 2 else chance * (F.col("unique") + 1) / F.col("n")
+    slot = F.pmod(F.hash("sig", F.lit(turn)), F.lit(SLOTS))
+    first = F.min(F.struct(order.alias("o"), F.col("sig").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an")))
+    lead = live.groupBy("token", slot.alias("slot")).agg(first.alias("l")).select("token", "l.a", "l.ac", "l.an")
     pairs = (live.join(lead, "token").where((F.col("comp") != F.col("ac")) & _compatible("n", "an", percent))
              .groupBy(F.col("sig").alias("b"), "a").agg(F.count("*").alias("c")))
-    first = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), F.xxhash64("a", "b", F.lit(turn))))
-    return pairs.withColumn("_r", first).where(F.col("_r") <= LEADERS).select("a", "b")
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), F.xxhash64("a", "b", F.lit(turn))))
+    return pairs.withColumn("_r", best).where(F.col("_r") <= LEADERS).select("a", "b")
 
 
 def all_pairs(live: DataFrame, percent: int) -> DataFrame:
     """Every pair of classes in different components that can still be similar enough.
 
-    A pair meets in the tokens of both prefixes; of the smaller set the shorter prefix
-    does that holds for partners no smaller. It must share the smaller m of the two, and
-    what it shares, with all that may follow the prefixes or the last shared token, must
-    reach the overlap it needs.
+    A pair that needs an overlap of ``need`` and shares the smaller m of the two in its
+    prefixes has those tokens among the first n - need + m places of both sets, so longer
+    prefixes meet only where both sizes ask for it. At each shared token, what precedes
+    it (without the shingles nobody else has) and what follows it must reach the need.
     """
-    side = lambda x: [F.col("sig").alias(x), *[F.col(c).alias(x + c) for c in ("n", "m", "place", "comp")]]
+    side = lambda x: [F.col("sig").alias(x), *[F.col(c).alias(x + c) for c in ("n", "m", "place", "unique", "comp")]]
     x, y = live.select("token", *side("a")), live.select("token", *side("b"))
     m = F.least("am", "bm")
-    short = lambda n: n - F.ceil(n * 2 * percent / (100 + percent)) + m
-    long = lambda n: n - F.ceil(n * percent / 100) + m
+    need = F.ceil((F.col("an") + F.col("bn")) * percent / (100 + percent))
+    inside = lambda s: F.col(s + "place") <= F.col(s + "n") - need + m
+    before = F.least(F.col("aplace") - F.col("aunique"), F.col("bplace") - F.col("bunique"))
+    after = F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace"))
     a_less = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
     met = x.join(y, "token").where(
-        a_less & (F.col("acomp") != F.col("bcomp")) & _compatible("an", "bn", percent)
-        & (F.col("aplace") <= short(F.col("an"))) & (F.col("bplace") <= long(F.col("bn"))))
-    c, need = F.col("c"), F.ceil((F.col("an") + F.col("bn")) * percent / (100 + percent))
-    rest_a, rest_b = F.col("an") - short(F.col("an")), F.col("bn") - long(F.col("bn"))
-    most = c + F.greatest(F.least(rest_a, F.col("bn") - F.col("bl")), F.least(rest_b, F.col("an") - F.col("al")))
-    return (met.groupBy("a", "b", "an", "bn", "am", "bm").agg(F.count("*").alias("c"), F.max("aplace").alias("al"), F.max("bplace").alias("bl"))
-            .where((c >= m) & (most >= need)).select("a", "b"))
+        a_less & (F.col("acomp") != F.col("bcomp")) & _compatible("an", "bn", percent) & inside("a") & inside("b") & (before + after >= need))
+    return (met.groupBy("a", "b", "am", "bm").agg(F.count("*").alias("c")).where(F.col("c") >= m).select("a", "b"))
 
 
 def merged(label: DataFrame | None, found: DataFrame) -> DataFrame:
