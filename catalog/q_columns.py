@@ -433,10 +433,10 @@ def sigmoid_threshold(t):
 
 @query("cosine_distance", f"""
 SELECT track_id, {R6('''CASE WHEN label <> 3 AND na > 1e-9 AND nb > 1e-9 THEN least(greatest(1 - ab/(na*nb), 0e0), 1e0) END''')} AS distance
-FROM (SELECT track_id, label, sqrt(list_sum([x*x for x in sig[1:24]])) AS na, sqrt(list_sum([x*x for x in sig[25:48]])) AS nb,
-  list_sum([sig[i]*sig[i+24] for i in range(1, 25)]) AS ab FROM fx_sigs)""")
+FROM (SELECT track_id, label, sqrt(list_sum([x*x for x in sig[1:32]])) AS na, sqrt(list_sum([x*x for x in sig[33:64]])) AS nb,
+  list_sum([sig[i]*sig[i+32] for i in range(1, 33)]) AS ab FROM fx_sigs)""")
 def cosine_distance(t):
-    a, b = F.slice("sig", 1, 24), F.when(c("label") != 3, F.slice("sig", 25, 24))
+    a, b = F.slice("sig", 1, 32), F.when(c("label") != 3, F.slice("sig", 33, 32))
     return t.sigs.select("track_id", r6(A.cosine_distance(a, b)).alias("distance"))
 
 

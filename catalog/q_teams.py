@@ -63,10 +63,9 @@ def mean_hue_signature(t):
 
 
 @query("baseline_residual", f"""
-SELECT track_id, {', '.join(f'{R6(f'sig[{i+1}] - avg(sig[{i+1}]) OVER (PARTITION BY clip)')} AS b{i}' for i in range(24))} FROM fx_sigs""")
+SELECT track_id, {', '.join(f'{R6(f'sig[{i+1}] - avg(sig[{i+1}]) OVER (PARTITION BY clip)')} AS b{i}' for i in range(64))} FROM fx_sigs""")
 def baseline_residual(t):
-    d = T.baseline_residual(t.sigs.withColumn("sig", F.slice("sig", 1, 24)), 24)
-    return arr(d, "residual", 24, ["track_id"])
+    return arr(T.baseline_residual(t.sigs, 64), "residual", 64, ["track_id"])
 
 
 @query("split_at_median", f"""

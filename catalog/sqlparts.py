@@ -90,15 +90,16 @@ def loo_ctes(source="fx_frames"):
 
 def fill_ctes():
     """CTEs ending in ``clean`` (clip, frame_idx, method, rmse, loo, red, h, h_clean)."""
-    sums = [f"sum(CAST(pow(n.frame_idx - r.frame_idx, {p}) AS DOUBLE)) AS s{p}" for p in range(5)]
-    moms = [f"sum(CAST(pow(n.frame_idx - r.frame_idx, {p}) AS DOUBLE)*n.h[{c}]) AS t{p}_{c}" for p in range(3) for c in range(1, 10)]
+    sums = [f"sum(pow(x, {p}) ORDER BY x) AS s{p}" for p in range(5)]
+    moms = [f"sum(pow(x, {p})*h[{c}] ORDER BY x) AS t{p}_{c}" for p in range(3) for c in range(1, 10)]
     fit = quad_fit([f"s{p}" for p in range(5)], [(f"t0_{c}", f"t1_{c}", f"t2_{c}") for c in range(1, 10)])
     return loo_ctes() + f""",
     scored AS (SELECT f.*, loo, coalesce(f.h IS NULL OR loo > 0.20e0, false) OR coalesce(rmse > 0.30e0, false) AS red
       FROM fx_frames f LEFT JOIN loo USING (clip, frame_idx)),
     ranked AS (SELECT *, sum(CASE WHEN red THEN 0 ELSE 1 END) OVER (PARTITION BY clip ORDER BY frame_idx) AS g FROM scored),
-    fnb AS (SELECT r.clip, r.frame_idx, {', '.join(sums)}, {', '.join(moms)} FROM ranked r JOIN ranked n
-      ON r.clip = n.clip AND r.red AND NOT n.red AND n.g BETWEEN r.g - 2 AND r.g + 3 GROUP BY ALL),
+    fnx AS (SELECT r.clip, r.frame_idx, n.h, CAST(n.frame_idx - r.frame_idx AS DOUBLE)/max(abs(n.frame_idx - r.frame_idx)) OVER (PARTITION BY r.clip, r.frame_idx) AS x
+      FROM ranked r JOIN ranked n ON r.clip = n.clip AND r.red AND NOT n.red AND n.g BETWEEN r.g - 2 AND r.g + 3),
+    fnb AS (SELECT clip, frame_idx, {', '.join(sums)}, {', '.join(moms)} FROM fnx GROUP BY clip, frame_idx),
     clean AS (SELECT s.*, coalesce(x.f, s.h) AS h_clean FROM scored s LEFT JOIN
       (SELECT clip, frame_idx, {fit} AS f FROM fnb WHERE s0 >= 3) x USING (clip, frame_idx))"""
 

@@ -147,7 +147,7 @@ def spacing_outliers(fits: DataFrame, limit: float = 25.0, min_fits: int = 3, ke
     return fits.join(good, [*keys, "cls"], "left_semi")
 
 
-def single_link(points: DataFrame, threshold: Column | float, keys: list[str] = FRAME, node: str = "comp", x: str = "cx", y: str = "cy", max_rounds: int = 64) -> DataFrame:
+def single_link(points: DataFrame, threshold: Column | float, keys: list[str] = FRAME, node: str = "comp", x: str = "cx", y: str = "cy") -> DataFrame:
     """Clusters of points linked by distances up to ``threshold`` (constant in a frame).
 
     Links come from a grid of that cell size; labels then take the smallest node reached,
@@ -163,7 +163,7 @@ def single_link(points: DataFrame, threshold: Column | float, keys: list[str] =
     links = left.join(right, [*keys, "_cx", "_cy"]).where(F.hypot(F.col("_x") - F.col("_x2"), F.col("_y") - F.col("_y2")) <= F.col("_r"))
     links = stage(links.select(*keys, "_n", "_m"))
     labels = stage(pts.select(*keys, "_n", F.col("_n").alias("_l")))
-    for _ in range(max_rounds):
+    while True:
         theirs = labels.select(*keys, F.col("_n").alias("_m"), F.col("_l").alias("_near"))
         low = links.join(theirs, [*keys, "_m"]).groupBy(*keys, "_n").agg(F.min("_near").alias("_low"))
         jump = labels.select(*keys, F.col("_n").alias("_low"), F.col("_l").alias("_far"))
@@ -172,7 +172,6 @@ def single_link(points: DataFrame, threshold: Column | float, keys: list[str] =
         labels = new.drop("_moved")
         if new.where("_moved").isEmpty():
             return labels.select(*keys, F.col("_n").alias(node), F.col("_l").alias("cluster"))
-    raise RuntimeError("single_link did not settle; raise max_rounds")
 
 
 def yard_spacing(components: DataFrame, keys: list[str] = FRAME, x: str = "cx", order: str = "comp", fallback: float = 100.0) -> DataFrame:

@@ -15,6 +15,7 @@ from fieldmotion.operators.reliable import spread
 
 FRAME = ["clip", "frame_idx"]
 REACH = 4.0  # field units within which a correspondence supports a fit
+SURE, MOST_DRAWS = 0.995, 2000  # chance of a clean draw to reach, and the draws after which none is expected
 
 
 def _normalise(p):
@@ -55,20 +56,28 @@ def _four_point_fits(src: np.ndarray, dst: np.ndarray, draws: np.ndarray) -> np.
     return np.linalg.inv(tb) @ h @ ta
 
 
-def consensus_fit(src: np.ndarray, dst: np.ndarray, seed: int, reach: float = REACH, rounds: int = 64):
+def consensus_fit(src: np.ndarray, dst: np.ndarray, seed: int, reach: float = REACH, batch: int = 64):
     """Best-supported homography over seeded four-point draws, refitted on its support:
-    (h, inlier mask) or (None, None)."""
+    (h, inlier mask) or (None, None). Draws go on until the share of support found makes
+    a clean one all but sure."""
     rng = np.random.default_rng(seed)
-    draws = np.argsort(rng.random((rounds, len(src))), axis=1)[:, :4]
-    trials = _four_point_fits(src, dst, draws)
-    q = np.einsum("tij,nj->tni", trials, np.column_stack([src, np.ones(len(src))]))
-    with np.errstate(all="ignore"):
-        error = np.linalg.norm(q[..., :2] / q[..., 2:] - dst, axis=2)
-    near = np.nan_to_num(error, nan=np.inf) <= reach
+    best = np.zeros(len(src), bool)
+    drawn, wanted = 0, math.inf
+    while drawn < min(wanted, MOST_DRAWS):
+        draws = np.argsort(rng.random((batch, len(src))), axis=1)[:, :4]
+        trials = _four_point_fits(src, dst, draws)
+        q = np.einsum("tij,nj->tni", trials, np.column_stack([src, np.ones(len(src))]))
+        with np.errstate(all="ignore"):
+            error = np.linalg.norm(q[..., :2] / q[..., 2:] - dst, axis=2)
+        near = np.nan_to_num(error, nan=np.inf) <= reach
+        found = near[np.argmax(near.sum(axis=1))]
+        best = found if found.sum() > best.sum() else best
+        drawn, clean = drawn + batch, best.mean() ** 4
+        wanted = math.inf if clean == 0 else 0 if clean == 1 else math.log(1 - SURE) / math.log1p(-clean)
     whole = plane_fit(src, dst)
     if whole is not None:
-        near = np.vstack([near, np.linalg.norm(mapped(whole, src) - dst, axis=1) <= reach])
-    best = near[np.argmax(near.sum(axis=1))]
+        near = np.linalg.norm(mapped(whole, src) - dst, axis=1) <= reach
+        best = near if near.sum() > best.sum() else best
     if best.sum() < 4:
         return None, None
     h = plane_fit(src[best], dst[best])

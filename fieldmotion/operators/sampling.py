@@ -81,24 +81,24 @@ def spaced_picks(candidates: Column, n: Column, spacing: int) -> Column:
     return F.aggregate(F.sort_array(candidates), F.array().cast("array<int>"), take)
 
 
-def min_spacing(frames: DataFrame, n: int | DataFrame, spacing: int = 60, seed: int = 42, n_max: int = 64) -> DataFrame:
+def min_spacing(frames: DataFrame, n: int | DataFrame, spacing: int = 60, seed: int = 42) -> DataFrame:
     """Frames of each clip at least ``spacing`` apart, picked from 5n hashed candidates;
     evenly spaced where the clip is too short. One row per clip with array ``picks``.
-    ``n`` is one number or a table (clip, n) with n <= n_max.
+    ``n`` is one number or a table (clip, n), at least 1.
 
-    Only 5 * n_max frames per clip are gathered, the number the rule itself draws.
+    Only 5n frames of a clip are gathered, the number the rule itself draws.
     """
+    most = n.agg(F.max("n")).first()[0] or 0 if isinstance(n, DataFrame) else n
     sized = frames.groupBy("clip").agg((F.max("frame_idx") + 1).alias("total"))
     sized = sized.join(n, "clip") if isinstance(n, DataFrame) else sized.withColumn("n", F.lit(n))
     hashed = frames.where(F.col("frame_idx") >= 0).withColumn("_h", shuffle_key(seed, F.col("clip"), F.col("frame_idx")))
-    drawn = top_per_group(hashed.select("clip", "frame_idx", "_h"), ["clip"], [F.col("_h"), F.col("frame_idx")], 5 * n_max)
-    pool = drawn.groupBy("clip").agg(F.collect_list(F.struct("rank", "frame_idx")).alias("_d"))
-    both = sized.join(pool, "clip")
-    drawn_n = F.transform(F.filter("_d", lambda d: d["rank"] <= 5 * F.col("n")), lambda d: d["frame_idx"])
+    drawn = top_per_group(hashed.select("clip", "frame_idx", "_h"), ["clip"], [F.col("_h"), F.col("frame_idx")], 5 * most)
+    own = drawn.join(sized, "clip").where(F.col("rank") <= 5 * F.col("n"))
+    both = own.groupBy("clip", "n", "total").agg(F.collect_list("frame_idx").alias("_d"))
     step = F.greatest(F.floor(F.col("total") / (F.col("n") + 1)), F.lit(1)).cast("int")
     even = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: (i * step).cast("int"))
     short = F.when(F.col("n") >= F.col("total"), F.sequence(F.lit(0), F.col("total") - 1)).otherwise(even)
-    picks = F.when(F.col("n") * spacing > F.col("total"), short).otherwise(spaced_picks(drawn_n, F.col("n"), spacing))
+    picks = F.when(F.col("n") * spacing > F.col("total"), short).otherwise(spaced_picks(F.col("_d"), F.col("n"), spacing))
     return both.select("clip", "n", "total", picks.alias("picks"))
 
 
@@ -110,7 +110,7 @@ def clips_then_frames(frames: DataFrame, n_clips: int, frames_per_game: int, spa
     each = chosen.select("game", "clip", F.greatest(share, F.lit(1)).cast("int").alias("want"))
     named = lambda df: df.withColumn("clip", F.concat_ws("/", "game", "clip"))
     held = named(frames.join(each.select("game", "clip"), ["game", "clip"], "left_semi"))
-    picks = min_spacing(held.select("clip", "frame_idx"), named(each).select("clip", F.col("want").alias("n")), spacing, seed, frames_per_game)
+    picks = min_spacing(held.select("clip", "frame_idx"), named(each).select("clip", F.col("want").alias("n")), spacing, seed)
     return named(each).join(picks.select("clip", "picks"), "clip").select("game", "clip", F.explode("picks").alias("frame_idx"))
 
 

@@ -192,14 +192,18 @@ def fill_bad(frames: DataFrame, loo_limit: float = 0.20, rmse_limit: float = 0.3
         F.col("rmse") > rmse_limit, F.lit(False))
     scored = stage(scored.withColumn("red", red))
     near = nearest_good(scored, "red", half, "h", bits)
+    # The few neighbours are folded in frame order and scaled by the farthest, so that no
+    # sum depends on the order in which rows arrive.
     x = (F.col("near_frame") - F.col("frame_idx")).cast("double")
-    sums = [F.sum(F.pow(x, F.lit(float(p)))).alias(f"_s{p}") for p in range(5)]
-    moments = [F.sum(F.pow(x, F.lit(float(p))) * F.col("near_h")[c]).alias(f"_t{p}_{c}")
-               for p in range(3) for c in range(9)]
-    fits = near.groupBy("clip", "frame_idx").agg(*sums, *moments)
-    c0, c1, c2 = _quadratic_weights(*[F.col(f"_s{p}") for p in range(5)])
-    cells = [c0 * F.col(f"_t0_{c}") + c1 * F.col(f"_t1_{c}") + c2 * F.col(f"_t2_{c}") for c in range(9)]
-    fits = fits.where(F.col("_s0") >= 3).select("clip", "frame_idx", F.array(*cells).alias("_fill"))
+    fits = near.groupBy("clip", "frame_idx").agg(F.sort_array(F.collect_list(F.struct(x.alias("x"), F.col("near_h").alias("h")))).alias("_near"))
+    fits = fits.where(F.size("_near") >= 3).withColumn("_far", F.array_max(F.transform("_near", lambda s: F.abs(s["x"]))))
+    fits = fits.withColumn("_near", F.transform("_near", lambda s: F.struct((s["x"] / F.col("_far")).alias("x"), s["h"].alias("h"))))
+    total = lambda p: F.aggregate("_near", F.lit(0.0), lambda t, s: t + F.pow(s["x"], F.lit(float(p))))
+    fits = fits.withColumns({f"_s{p}": total(p) for p in range(5)})
+    fits = fits.withColumns({f"_c{p}": w for p, w in enumerate(_quadratic_weights(*[F.col(f"_s{p}") for p in range(5)]))})
+    weight = lambda v: F.col("_c0") + F.col("_c1") * v + F.col("_c2") * v * v
+    fill = F.aggregate("_near", F.array_repeat(F.lit(0.0), 9), lambda t, s: _axpy(t, s["h"], weight(s["x"])))
+    fits = fits.select("clip", "frame_idx", fill.alias("_fill"))
     out = scored.join(fits, ["clip", "frame_idx"], "left")
     return out.withColumn("h_clean", F.coalesce("_fill", "h")).drop("_fill")
 

@@ -122,3 +122,24 @@ def test_field_points(spark):
     assert pts.count() == 21 * 4 + 9 * 2
     assert {r.label for r in pts.where("slot = 1 and y = 0").collect()} == {"near_sideline_5+5yd"}
     assert {r.label for r in pts.where("slot = 10 and y = 13").collect()} == {"number_50"}
+
+
+def test_min_spacing_draws_for_large_n(spark):
+    from fieldmotion.operators.sampling import min_spacing
+
+    frames = spark.range(20_000).selectExpr("'c' AS clip", "CAST(id AS INT) AS frame_idx")
+    picks = min_spacing(frames, 200, 60).first()["picks"]
+    assert len(picks) == 200 and min(b - a for a, b in zip(picks, picks[1:], strict=False)) >= 60
+
+
+def test_consensus_with_half_the_points_wrong():
+    from fieldmotion.operators.planar import consensus_fit, mapped
+
+    rng = np.random.default_rng(5)
+    h = np.array([[0.05, 0.01, 3.0], [0.002, 0.06, -4.0], [1e-5, 2e-4, 1.0]])
+    src = rng.uniform(0, 1200, (30, 2))
+    dst = mapped(h, src)
+    dst[:15] += rng.uniform(20, 60, (15, 2))
+    for seed in range(20):
+        got, near = consensus_fit(src, dst, seed)
+        assert near[15:].all() and np.abs(mapped(got, src[15:]) - dst[15:]).max() < 0.5
