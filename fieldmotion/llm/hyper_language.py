@@ -47,26 +47,29 @@ def _codes(text: str | None) -> np.ndarray:
 def gram_counts(texts: list[str | None], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(grams as rows of code points, text of each occurrence, gram of each occurrence)."""
     each = [_codes(t) for t in texts]
-    owner = np.repeat(np.arange(len(each)), [max(0, len(c) - gram + 1) for c in each])
-    if not len(owner):
-        return np.zeros((0, gram), np.int64), owner, owner
-    windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(c, gram) for c in each if len(c) >= gram])
-    alphabet, dense = np.unique(windows[:, 0], return_inverse=True) if gram == 1 else np.unique(windows, return_inverse=True)
-    dense, n = dense.reshape(windows.shape).astype(np.int64), len(alphabet)
+    owner = np.repeat(np.arange(len(each)), [len(c) for c in each])
+    codes = np.concatenate(each) if len(owner) else np.zeros(0, np.int64)
+    whole = np.flatnonzero(owner[gram - 1 :] == owner[: max(0, len(owner) - gram + 1)])  # starts that do not run into the next text
+    if not len(whole):
+        return np.zeros((0, gram), np.int64), whole, whole
+    alphabet = np.flatnonzero(np.bincount(codes))
+    place = np.zeros(alphabet[-1] + 1, np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    dense, n = place[codes], len(alphabet)
     if float(n) ** gram < 4e6:
-        code = np.zeros(len(windows), np.int64)
+        code = np.zeros(len(whole), np.int64)
         for k in range(gram):
-            code = code * n + dense[:, k]
+            code = code * n + dense[whole + k]
         seen = np.flatnonzero(np.bincount(code, minlength=n**gram))
-        place = np.zeros(n**gram, np.int64)
-        place[seen] = np.arange(len(seen))
+        at = np.zeros(n**gram, np.int64)
+        at[seen] = np.arange(len(seen))
         parts, rest = [], seen
         for _ in range(gram):
             parts.append(rest % n)
             rest = rest // n
-        return alphabet[np.stack(parts[::-1], axis=1)], owner, place[code]
-    grams, gram_of = np.unique(dense, axis=0, return_inverse=True)
-    return alphabet[grams], owner, gram_of.reshape(-1)
+        return alphabet[np.stack(parts[::-1], axis=1)], owner[whole], at[code]
+    grams, gram_of = np.unique(np.stack([dense[whole + k] for k in range(gram)], axis=1), axis=0, return_inverse=True)
+    return alphabet[grams], owner[whole], gram_of.reshape(-1)
 
 
 def gram_vectors(grams: np.ndarray, dim: int) -> np.ndarray:
