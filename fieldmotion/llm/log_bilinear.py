@@ -9,6 +9,7 @@ probabilities over all known words and, per class, one unknown word.
 
 Training is noise-contrastive estimation in numpy on every task's own texts; the tasks'
 parameters, of fixed size, are averaged by a shuffle and trained on in a second round.
+Every training token is a target once, in one of the rounds.
 Word counts are exact and cover all training texts; only the most frequent words, a
 fixed number, are sent to every task, all other words meet their counts in a shuffle.
 """
@@ -31,8 +32,8 @@ OWN, KINDS, DIM, CONTEXT = 150, 104, 24, 4
 END, CLASSES = OWN + KINDS, OWN + KINDS + 1
 #: Most frequent words whose counts every task gets (16 bytes each).
 COMMON = 1 << 16
-#: One in RATE training tokens is a target (all are context), with NOISE noise classes; ROUNDS of averaging.
-RATE, NOISE, ROUNDS, BATCH = 8, 64, 2, 1024
+#: Noise classes of a batch, rounds of averaging, targets of a batch.
+NOISE, ROUNDS, BATCH = 64, 2, 1024
 SLICE_BYTES = 1_000_000
 END_HASH = 1  # stands for the end token among word hashes
 
@@ -130,13 +131,27 @@ def encode(part: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
     return put(words, np.uint64(END_HASH)), put(classes, END), put(counts, vocab.class_tokens[END]), put(hit, True), n + 1
 
 
+def targets(words: np.ndarray, lengths: np.ndarray, turn: int) -> np.ndarray:
+    """Places of the tokens that are targets in a round. The rounds share all tokens out
+    by a hash of word, place in the text and length of the text, however texts are sliced."""
+    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    salt = (place + (np.repeat(lengths, lengths) << 32)).astype(np.uint64)
+    return np.flatnonzero(mixed(words + mixed(salt)) % np.uint64(ROUNDS) == turn)
+
+
+def _row_sums(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Per class, the sum of the vectors with that class."""
+    out = np.zeros(CLASSES * DIM, np.float32)
+    np.add.at(out, (rows[:, None] * DIM + np.arange(DIM)).ravel(), values.ravel())
+    return out.reshape(CLASSES, DIM)
+
+
 def train_on(p: np.ndarray, past: np.ndarray, ctx: np.ndarray, target: np.ndarray, noise: np.ndarray, seed: int, rate: float = 0.05) -> None:
     """One pass of noise-contrastive estimation with AdaGrad; ``p`` and the squared
     gradients ``past`` change in place."""
     q, r, place, bias = _parts(p)
     rng = np.random.Generator(np.random.Philox(key=seed))
     edges, log_noise = np.cumsum(noise), np.log(noise * NOISE).astype(np.float32)
-    one = np.eye(CLASSES, dtype=np.float32)
     order = rng.permutation(len(target))
     for s in range(0, len(order), BATCH):
         at = order[s : s + BATCH]
@@ -144,24 +159,24 @@ def train_on(p: np.ndarray, past: np.ndarray, ctx: np.ndarray, target: np.ndarra
         # the noise classes are drawn once a batch and shared by its tokens
         drawn = np.minimum(np.searchsorted(edges, rng.random(NOISE) * edges[-1]), CLASSES - 1)
         qc = q[c]
-        hidden = (qc * place).sum(axis=1)
+        hidden = np.einsum("bkd,kd->bd", qc, place)
         g_true = 1 / (1 + np.exp(np.clip(-((hidden * r[t]).sum(axis=1) + bias[t] - log_noise[t]), -30, 30))) - 1
         g_noise = 1 / (1 + np.exp(np.clip(-(hidden @ r[drawn].T + bias[drawn] - log_noise[drawn]), -30, 30)))
         d_hidden = g_true[:, None] * r[t] + g_noise @ r[drawn]
-        to, of = one[t], one[drawn]
-        d_r = to.T @ (g_true[:, None] * hidden) + of.T @ (g_noise.T @ hidden)
-        d_bias = to.T @ g_true + of.T @ g_noise.sum(axis=0)
-        d_q = sum(one[c[:, k]].T @ (d_hidden * place[k]) for k in range(CONTEXT))
-        d_place = (qc * d_hidden[:, None, :]).sum(axis=0)
-        grad = np.concatenate([d_q.ravel(), d_r.ravel(), d_place.ravel(), d_bias]) / len(at)
+        met = np.concatenate([t, drawn])
+        d_r = _row_sums(met, np.concatenate([g_true[:, None] * hidden, g_noise.T @ hidden]))
+        d_bias = np.bincount(met, np.concatenate([g_true, g_noise.sum(axis=0)]), minlength=CLASSES)
+        d_q = _row_sums(c.T.ravel(), np.concatenate([d_hidden * place[k] for k in range(CONTEXT)]))
+        d_place = np.einsum("bkd,bd->kd", qc, d_hidden)
+        grad = np.concatenate([d_q.ravel(), d_r.ravel(), d_place.ravel(), d_bias]) .astype(np.float32) / len(at)
         past += grad * grad
         p -= rate * grad / np.sqrt(past)
 
 
 def trained(train: DataFrame, vocab: Vocabulary) -> np.ndarray:
     """Parameters after ROUNDS of local training on every task's texts and averaging,
-    weighted by tokens. Targets are chosen by a hash of word and place, so a task that is
-    run again learns the same."""
+    weighted by tokens. Targets are shared out by a hash, so a task that is run again
+    learns the same."""
     p = start_parameters(vocab)
     noise = (vocab.class_tokens + 0.5) / (vocab.n + 0.5 * CLASSES)
     for turn in range(ROUNDS):
@@ -172,7 +187,7 @@ def trained(train: DataFrame, vocab: Vocabulary) -> np.ndarray:
             for b in batches:
                 for _, part in _slices(b.column(0).to_pylist()):
                     words, classes, _, _, n = encode(part, vocab)
-                    picked = np.flatnonzero(mixed(words + np.arange(len(words), dtype=np.uint64)) % np.uint64(RATE) == turn)
+                    picked = targets(words, n, turn)
                     if len(picked):
                         train_on(own, past, contexts(classes, n)[picked], classes[picked], noise, seen * ROUNDS + turn)
                         seen += len(words)

@@ -192,6 +192,22 @@ def test_class_probabilities_are_normalised():
     assert abs((10 ** log_bilinear.class_log10(p, ctx, np.arange(log_bilinear.CLASSES))).sum() - 1) < 1e-5
 
 
+def test_every_training_token_is_a_target_once():
+    texts = [f"{LINE} {i}".encode() for i in range(40)] + [b"", b"one one one"]
+    vocab = log_bilinear.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64),
+                                    np.ones(log_bilinear.CLASSES, np.int64), np.ones(log_bilinear.CLASSES, np.int64), 255, 255)
+    for part in (texts, texts[7:20], texts[-2:]):
+        hashes, _, _, _, n = log_bilinear.encode(part, vocab)
+        rounds = [log_bilinear.targets(hashes, n, turn) for turn in range(log_bilinear.ROUNDS)]
+        assert sorted(np.concatenate(rounds)) == list(range(len(hashes)))
+    # a text's share of a round does not depend on the texts around it
+    alone, _, _, _, n = log_bilinear.encode(texts[3:4], vocab)
+    among, _, _, _, m = log_bilinear.encode(texts[2:5], vocab)
+    start = int(m[0])
+    inside = [x - start for x in log_bilinear.targets(among, m, 0) if start <= x < start + m[1]]
+    assert inside == log_bilinear.targets(alone, n, 0).tolist()
+
+
 def test_scores_odd_rows(spark):
     docs = odd_docs(spark).select("doc_id", "text", "size").withColumn("held_out", F.lit(False))
     counts = log_bilinear.word_counts(docs).cache()
