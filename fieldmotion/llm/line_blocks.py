@@ -3,7 +3,9 @@
 Markup is stripped to lines, one per block element; parts that cannot be the article
 (menus, notices, forms, scripts ...) leave blank lines. Text lengths are summed over
 sliding windows of lines. Text between a surge of that sum and the next dive to nothing
-is the main text; a page may have several such stretches.
+is the main text; a page may have several such stretches. The surge is a share of the
+page's fullest window. Article and main elements bound stretches and weigh more, but the
+sums choose on every page.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines in a window, and the sum that starts a stretch where no element marks the article.
-WINDOW, SURGE = 3, 80
+#: Lines in a window, the part of the page's fullest window that starts a stretch, and how
+#: much more a character counts in an article or main element.
+WINDOW, SURGE, WEIGHT = 3, 0.25, 4
 
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead
@@ -24,37 +27,43 @@ tr ul""".split())
 CONTAINERS = BLOCKS - frozenset("p hr h1 h2 h3 h4 h5 h6".split()) | {"span", "button", "select", "head", "title", "label", "noscript", "iframe"}
 NEVER = frozenset("nav footer aside form button select option head title noscript iframe dialog menu textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Words of class, id or role that mark what is not the article.
+#: Elements whose direct text belongs together, where no article or main element is around it.
+SECTIONS = frozenset("body div section td dd center".split())
+#: Whole names of class, id or role that mark what is not the article.
 MARKS = frozenset("""ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie
 cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo
 promotion recommended related replies respond reply search share sharing sidebar signup social sponsor sponsored subscribe
-toolbar widget complementary contentinfo""".split())
+toolbar widget complementary contentinfo ad-banner ad-container comment-list comments-area cookie-banner cookie-bar cookie-consent
+cookie-notice main-menu main-nav page-footer page-header related-articles related-posts search-form share-buttons site-footer
+site-header site-nav social-links social-share""".split())
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|svg|template|textarea)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+BLANK = ("", False, 0.0, 0)
 
 
 def _marked(attributes: str) -> set[str]:
-    return {w for v in NAMED.findall(attributes) for w in re.split(r"[^a-z]+", v.lower())} & MARKS
+    return {w for v in NAMED.findall(attributes) for w in v.strip("\"'").lower().split()} & MARKS
 
 
-def page_lines(page: str) -> list[tuple[str, bool, float]]:
-    """(text, inside an article or main element, share of the text in links) per line.
+def page_lines(page: str) -> list[tuple[str, bool, float, int]]:
+    """(text, inside an article or main element, share of the text in links, section) per line.
 
-    A part that is left out gives WINDOW blank lines. Elements may lack their end tags:
+    A section is an outermost article or main element, elsewhere the nearest of SECTIONS.
+    A part that is left out and either end of an article give WINDOW blank lines. Elements may lack their end tags:
     an end tag closes all that is open inside its element, and an article ends whatever
     menu or notice was left open before it.
     """
-    lines: list[tuple[str, bool, float]] = []
-    open_: list[tuple[str, bool]] = []  # container, left out
+    lines: list[tuple[str, bool, float, int]] = []
+    open_: list[tuple[str, bool, int]] = []  # container, left out, section
     text: list[str] = []
-    linked, in_link, depth_out, depth_main = 0, False, 0, 0
+    linked, in_link, depth_out, depth_main, sections = 0, False, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         line = " ".join(entities.unescape("".join(text)).split())
         if line:
-            lines.append((line, depth_main > 0, min(1.0, linked / len(line))))
+            lines.append((line, depth_main > 0, min(1.0, linked / len(line)), open_[-1][2] if open_ else 0))
         text.clear()
         linked = 0
 
@@ -66,10 +75,13 @@ def page_lines(page: str) -> list[tuple[str, bool, float]]:
 
     def close(k: int) -> None:
         nonlocal depth_out, depth_main
-        for name, out in open_[k:]:
+        was = depth_main
+        for name, out, _ in open_[k:]:
             depth_out -= out
             depth_main -= name in ("article", "main")
         del open_[k:]
+        if was and not depth_main:
+            lines.extend([BLANK] * WINDOW)
 
     page = RAW.sub(" ", page)
     at = 0
@@ -88,7 +100,7 @@ def page_lines(page: str) -> list[tuple[str, bool, float]]:
         if name not in CONTAINERS or name in VOID:
             continue
         if end:
-            places = [i for i, (x, _) in enumerate(open_) if x == name]
+            places = [i for i, (x, _, _) in enumerate(open_) if x == name]
             if places:
                 close(places[-1])
             continue
@@ -96,15 +108,20 @@ def page_lines(page: str) -> list[tuple[str, bool, float]]:
             continue
         if name in ("article", "main", "body"):
             if depth_out and not depth_main:
-                close(next(i for i, (_, out) in enumerate(open_) if out))
+                close(next(i for i, (_, out, _) in enumerate(open_) if out))
             out = False
         else:
             marked = _marked(attributes)
             out = name in NEVER or bool(marked) or (name == "header" and not depth_main)
-        if out and not depth_out:
+        starts = name in ("article", "main") and not depth_main
+        if (out and not depth_out) or starts:
             flush()
-            lines.extend([("", False, 0.0)] * WINDOW)
-        open_.append((name, out))
+            lines.extend([BLANK] * WINDOW)
+        section = open_[-1][2] if open_ else 0
+        if starts or (name in SECTIONS and not depth_main):
+            sections += 1
+            section = sections
+        open_.append((name, out, section))
         depth_out += out
         depth_main += name in ("article", "main")
     add(page[at:])
@@ -112,7 +129,7 @@ def page_lines(page: str) -> list[tuple[str, bool, float]]:
     return lines
 
 
-def stretches(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
+def stretches(lengths: list[int], surge: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """(first, last + 1) of the lines between each surge and the next dive."""
     sums, total = [], 0
     for i, n in enumerate(lengths):
@@ -137,16 +154,21 @@ def stretches(lengths: list[int], surge: int, window: int = WINDOW) -> list[tupl
 def main_text(page: str | None) -> str:
     """The article's blocks joined by line feeds; empty where there is none.
 
-    Where the page marks an article or main element, lines outside count as blank and any
-    text starts a stretch; else lines made of links count as blank and a stretch needs a
-    window of SURGE characters (or the fullest window, on a short page).
+    A line counts with its characters outside links, or in an article or main element
+    WEIGHT times with all. A stretch needs a window of SURGE times the fullest one. What
+    stands apart from a stretch but in its section, as a closing line between two removed
+    parts, belongs to it; lines made of links alone belong to it only between its lines.
     """
     lines = page_lines(page or "")
-    marked = any(main and text for text, main, _ in lines)
-    lengths = [len(text) if (main if marked else share <= 0.5) else 0 for text, main, share in lines]
+    lengths = [WEIGHT * len(text) if main else round(len(text) * (1 - share)) for text, main, share, _ in lines]
     most = max((sum(lengths[i : i + WINDOW]) for i in range(len(lengths))), default=0)
-    surge = 1 if marked else max(1, min(SURGE, most))
-    return "\n".join(lines[i][0] for s, e in stretches(lengths, surge) for i in range(s, e) if lengths[i])
+    taken: set[int] = set()
+    for start, end in stretches(lengths, max(1, SURGE * most)):
+        while not lengths[end - 1]:
+            end -= 1
+        taken.update(range(start, end))
+    sections = {lines[i][3] for i in taken if lengths[i]}
+    return "\n".join(line[0] for i, line in enumerate(lines) if line[0] and (i in taken or (lengths[i] and line[3] in sections)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

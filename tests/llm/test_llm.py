@@ -113,6 +113,26 @@ def test_main_text():
     assert line_blocks.stretches([0, 0, 100, 50, 0, 0, 0, 0, 90, 0], 80) == [(2, 6), (8, 10)]
 
 
+def test_windows_choose_the_text_on_every_page():
+    text = "".join(f"<p>{LINE} {i}</p>" for i in range(6))
+    whole = [f"{LINE} {i}" for i in range(6)]
+    # an article that is a teaser beside a long main text does not win by its tag
+    teaser = f"<div><article><p>Soon.</p></article></div><div>{text}</div>"
+    assert line_blocks.main_text(teaser).split("\n") == whole
+    # no element marks the article: short lines between removed parts and linked ones stay
+    bare = (f"<nav>Menu</nav><div>{text}<div class=ad>Buy</div><h2>More</h2><form>Name</form><p>The end.</p><aside>x</aside>"
+            f"<p>See <a href=x>the long study of it all</a>.</p></div><footer>me</footer>")
+    assert line_blocks.main_text(bare).split("\n") == [*whole, "More", "The end.", "See the long study of it all."]
+    # outside of the text's section, short lines are left out
+    assert line_blocks.main_text(f"<div>Hi</div><form>x</form><div>{text}</div>").split("\n") == whole
+    # whole names mark a part, not parts of names
+    assert line_blocks.main_text(f'<div class="no-sidebar has-comments">{text}</div>').split("\n") == whole
+    # the same text with the article's tags taken away
+    page = f"<body><nav>Menu</nav><div class=ad>Buy</div><article><h1>Big</h1>{text}<aside>x</aside><p>So.</p></article><footer>me</footer></body>"
+    stripped = re.sub("</?article>", "", page)
+    assert line_blocks.main_text(stripped) == line_blocks.main_text(page) == "\n".join(["Big", *whole, "So."])
+
+
 def test_extract_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>hello</p>", None)], "page_id long, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in line_blocks.extract(pages).collect()) == [("", 0), ("hello", 5)]
