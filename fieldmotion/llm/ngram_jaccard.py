@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmotion.llm.common import parallelism, stored
-from fieldmotion.llm.shingles import shingle_sets
+from fieldmotion.llm.shingles import counted_shingle_sets, shingle_sets
 
 #: Bytes of text hashed at once, and shingles sorted at once, in one task.
 SLICE_BYTES, CHUNK = 2_000_000, 3_000_000
@@ -155,8 +155,8 @@ def postings(docs: DataFrame, k: int, groups: int, hot: np.ndarray) -> DataFrame
         size = 0
         for b in batches:
             for _, part in _slices(b.column(0).to_pylist()):
-                for g, s in zip(*shingle_sets(part, k), strict=True):
-                    if len(s) and int(g) not in seen and not (len(s) == 1 and s[0] == int(g) >> 8):
+                for g, s, n in zip(*counted_shingle_sets(part, k), strict=True):
+                    if n >= k and int(g) not in seen:
                         seen[int(g)] = s
                         size += len(s)
                 if size >= CHUNK:

@@ -51,7 +51,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(signature of each text's word sequence, its sorted distinct shingle hashes).
+    """(signature of each text's word sequence, its sorted distinct shingle hashes)."""
+    signature, sets, _ = counted_shingle_sets(texts, k)
+    return signature, sets
+
+
+def counted_shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(signature of each text's word sequence, its sorted distinct shingle hashes, its words).
 
     A text with fewer than k words has its whole sequence as one shingle, one without
     words has none. Hashes have 56 bits. Texts with equal word sequences, and in practice
@@ -69,7 +75,7 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, list[np.ndarra
             sets.append(np.unique(rolled[s : e - k + 1]))
         else:
             sets.append(signature[i : i + 1] >> np.uint64(8) if e > s else rolled[:0])
-    return signature, sets
+    return signature, sets, n
 
 
 def word_tails(texts: list[bytes], kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -81,6 +81,16 @@ def test_ngram_join_against_brute_force(spark, seed):
     assert sorted(tuple(x)[:3] for x in got.collect()) == brute_components(rows)
 
 
+def test_ngram_join_of_one_repeated_word(spark):
+    """Five times a word has the same one shingle as six times; four times has another."""
+    texts = {1: "ho " * 5, 2: "ho " * 6, 3: "ho " * 9, 4: "ho " * 4, 5: "a b c d e", 6: "a b c d e f", 7: "ho hum"}
+    rows = list(texts.items())
+    got = ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = sorted(tuple(x)[:3] for x in got.collect())
+    assert found == brute_components(rows)
+    assert {d: c for d, _, c in found} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
+
+
 def test_ngram_join_odd_rows(spark):
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in ngram_jaccard.near_duplicates(odd_docs(spark)).collect())
     assert ("3", 0, 3) in got and ("5", 0, 5) in got and got.count(("2", 8, 1)) == 2 and ("None", 8, 1) in got and ("8", 9, 1) in got
