@@ -78,7 +78,7 @@ def split_at_median(t):
 
 @query("pca_split")
 def pca_split(t):
-    d = T.pca_split(t.sigs.withColumn("sig", F.slice("sig", 1, 24)), 24)
+    d = T.pca_split(t.sigs, 64)
     return d.select("clip", "track_id", r6("proj").alias("proj"), r6("confidence").alias("confidence"), "team")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -71,8 +72,9 @@ def _square_distance(a: Column, b: Column) -> Column:
 
 
 def two_means(points: DataFrame, keys: list[str], value: str, width: int, order: str,
-              weight: Column | None = None, rounds: int = 10) -> DataFrame:
-    """Two cluster centres per key by Lloyd's rounds: (keys, c0, c1).
+              weight: Column | None = None, rounds: int | None = None) -> DataFrame:
+    """Two cluster centres per key by Lloyd's rounds: (keys, c0, c1). Without ``rounds``
+    they go on until no point changes its cluster.
 
     Starts from the first point by ``order`` and the point farthest from it. Every round
     is one aggregation of (key, cluster) sums; centres are written out between rounds.
@@ -83,21 +85,24 @@ def two_means(points: DataFrame, keys: list[str], value: str, width: int, order:
     far = pts.join(first, keys).groupBy(*keys).agg(
         F.first("c0").alias("c0"), F.max_by("_v", F.struct(_square_distance(F.col("_v"), F.col("c0")), -F.col(order))).alias("c1"))
     centres = stage(far)
-    for _ in range(rounds):
-        near = pts.join(centres, keys)
-        one = _square_distance(F.col("_v"), F.col("c1")) < _square_distance(F.col("_v"), F.col("c0"))
-        near = near.withColumn("_k", F.when(one, 1).otherwise(0))
+    nearer = lambda c0, c1: F.when(_square_distance(F.col("_v"), F.col(c1)) < _square_distance(F.col("_v"), F.col(c0)), 1).otherwise(0)
+    for turn in itertools.count(1):
+        if rounds is not None and turn > rounds:
+            return centres
+        near = pts.join(centres, keys).withColumn("_k", nearer("c0", "c1"))
         cells = near.select(*keys, "_k", "_w", F.posexplode("_v").alias("_i", "_x"))
         means = cells.groupBy(*keys, "_k", "_i").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_m"))
         maps = means.groupBy(*keys).agg(*[
             F.map_from_entries(F.collect_list(F.when(F.col("_k") == k, F.struct("_i", "_m")))).alias(f"_n{k}") for k in (0, 1)])
         whole = lambda m: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col(m)[i])
         keep = lambda m, old: F.when(F.size(m) > 0, whole(m)).otherwise(F.col(old))
+        was = centres.withColumnsRenamed({"c0": "_c0", "c1": "_c1"})
         centres = stage(maps.join(centres, keys).select(*keys, keep("_n0", "c0").alias("c0"), keep("_n1", "c1").alias("c1")))
-    return centres
+        if rounds is None and pts.join(was, keys).join(centres, keys).where(nearer("_c0", "_c1") != nearer("c0", "c1")).isEmpty():
+            return centres
 
 
-def kmeans_split(sigs: DataFrame, width: int, value: str = "sig", rounds: int = 10) -> DataFrame:
+def kmeans_split(sigs: DataFrame, width: int, value: str = "sig", rounds: int | None = None) -> DataFrame:
     """Cluster the tracks of each clip in two; confidence compares both centre distances."""
     known = sigs.where(F.col(value).isNotNull())
     centres = two_means(known, ["clip"], value, width, "track_id", rounds=rounds)
@@ -113,7 +118,7 @@ def assign_two(df: DataFrame, value: str) -> DataFrame:
                              "confidence": (other - own) / (own + 1e-6)}).drop("_d0", "_d1", "c0", "c1")
 
 
-def pixel_split(pixels: DataFrame, min_pixels: int = 50, rounds: int = 10) -> DataFrame:
+def pixel_split(pixels: DataFrame, min_pixels: int = 50, rounds: int | None = None) -> DataFrame:
     """Cluster the pooled shirt pixels of a clip in two colours and give each track the
     colour its pixels are nearer to on average. Equal pixels are counted once, weighted."""
     kept = pixels.where(chromatic_rules(F.col("h"), F.col("s"), F.col("v"))["keep"])

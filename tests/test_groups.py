@@ -9,13 +9,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from catalog import QUERIES
+from catalog.fixtures import Fixtures
 from fieldmotion.operators import assign as A
 from fieldmotion.operators import lines as L
 from fieldmotion.operators import ranking as K
 from fieldmotion.operators import rejects as X
 from fieldmotion.operators import sampling as P
 from fieldmotion.operators.histograms import histogram_1d
-from fieldmotion.operators.teams import split_at_median
+from fieldmotion.operators.teams import kmeans_split, split_at_median
 from fieldmotion.sources import files as IO
 
 
@@ -143,3 +145,32 @@ def test_consensus_with_half_the_points_wrong():
     for seed in range(20):
         got, near = consensus_fit(src, dst, seed)
         assert near[15:].all() and np.abs(mapped(got, src[15:]) - dst[15:]).max() < 0.5
+
+
+def test_two_means_go_on_until_no_label_moves(spark):
+    """A long tail: the bound between the clusters moves a few points a round."""
+    xs = [(1000 / (1000 - i)) ** 0.3 for i in range(1000)]
+    v = np.array(xs)
+    c0, c1, n, label = v[0], v[np.argmax(np.abs(v - v[0]))], 0, None
+    while label is None or (label != (np.abs(v - c1) < np.abs(v - c0))).any():
+        label = np.abs(v - c1) < np.abs(v - c0)
+        c0, c1, n = v[~label].mean(), v[label].mean(), n + 1
+    assert n > 10
+    df = spark.createDataFrame([("c", i, [x]) for i, x in enumerate(xs)], "clip string, track_id long, sig array<double>")
+    got = {r["track_id"]: r["cluster"] for r in kmeans_split(df, 1).collect()}
+    assert [got[i] for i in range(len(xs))] == label.astype(int).tolist()
+
+
+def test_pca_split_reads_whole_vectors(spark):
+    """The query projects as numpy does over all 64 values of each vector."""
+    d = "/root/testdata/sf0.001"
+    sigs = Fixtures(spark, d).sigs.where("sig is not null").select("clip", "track_id", "sig").toPandas()
+    want = {}
+    for _, g in sigs.groupby("clip"):
+        x = np.stack(g["sig"])
+        x = x - x.mean(axis=0)
+        axis = np.linalg.eigh(x.T @ x)[1][:, -1]
+        proj = x @ (axis * np.sign(axis[np.argmax(np.abs(axis))]))
+        want |= dict(zip(g["track_id"], proj))
+    got = {r["track_id"]: r["proj"] for r in QUERIES["pca_split"](spark, d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
