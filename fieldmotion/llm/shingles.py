@@ -78,6 +78,29 @@ def counted_shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, list[n
     return signature, sets, n
 
 
+def shingle_hashes(texts: list[bytes], k: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(128-bit signature of each text's words, all shingle hashes, each text's first, distinct ones).
+
+    Hashes have 64 bits. Repeats of a shingle within a text are still there.
+    """
+    words, n = word_hashes(texts)
+    ends = np.cumsum(n)
+    begins = ends - n
+    if not len(words):
+        return [bytes(16)] * len(texts), words, np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    whole, other = _spans(words, begins, ends), _spans(mixed(words ^ np.uint64(_P)), begins, ends)
+    count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    starts = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(texts)), count)
+    at = begins[owner] + np.arange(len(owner)) - starts[owner]
+    shingles = _spans(words, at, np.minimum(at + k, ends[owner]))
+    order = np.lexsort((shingles, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (shingles[order][1:] != shingles[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    distinct = np.bincount(owner[order][new], minlength=len(texts))
+    return [r.tobytes() for r in np.stack([whole, other], axis=1)], shingles, starts, distinct
+
+
 def word_tails(texts: list[bytes], kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of every word, its kind by its last three bytes, words of each text)."""
     raw = np.frombuffer(b"\n".join([*(t.lower() for t in texts), b""]), np.uint8)
