@@ -123,14 +123,14 @@ def unpacked_set(raw: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def met_in_region(region: np.ndarray, size: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def met_in_region(region: np.ndarray, size: np.ndarray, bits: np.ndarray, percent: int, small: int, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j of candidate pairs, rows in crowded regions) of rows in sorted order."""
     first = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
     count = np.diff(np.append(first, len(region)))
-    crowd = np.repeat(count > SMALL, count)
+    crowd = np.repeat(count > small, count)
     left, right = [], []
-    for off in range(1, min(SMALL, len(region))):
-        i = np.flatnonzero((region[off:] == region[:-off]) & (~crowd[off:] | (off <= NEAR)))
+    for off in range(1, min(max(small, near + 1), len(region))):
+        i = np.flatnonzero((region[off:] == region[:-off]) & (~crowd[off:] | (off <= near)))
         if not len(i):
             break
         j = i + off
@@ -157,7 +157,7 @@ def forest(classes: DataFrame, percent: int) -> DataFrame:
         def emit(t: pa.Table) -> pa.RecordBatch:
             region, part, n, k1, k2 = (t.column(c).to_numpy() for c in ("region", "part", "n", "k1", "k2"))
             group = np.cumsum(np.concatenate([[False], (region[1:] != region[:-1]) | (part[1:] != part[:-1])]))
-            i, j, crowd = met_in_region(group, n, np.stack([k1, k2], axis=1), percent)
+            i, j, crowd = met_in_region(group, n, np.stack([k1, k2], axis=1), percent, SMALL, NEAR)
             sig = np.array(t.column("sig").to_pylist(), dtype=object)
             a, b = sig[i], sig[j]
             swap = a > b

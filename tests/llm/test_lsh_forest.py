@@ -77,6 +77,6 @@ def test_sets_survive_packing():
 
 def test_small_regions_meet_in_full_and_crowded_ones_by_neighbours():
     region = np.repeat([1, 2], [5, lsh_forest.SMALL + 8])
-    i, j, crowd = lsh_forest.met_in_region(region, np.full(len(region), 10), np.zeros((len(region), 2), np.int64), 80)
+    i, j, crowd = lsh_forest.met_in_region(region, np.full(len(region), 10), np.zeros((len(region), 2), np.int64), 80, lsh_forest.SMALL, lsh_forest.NEAR)
     assert sum((a < 5) for a in i) == 10 and len(crowd) == lsh_forest.SMALL + 8
     assert max(b - a for a, b in zip(i, j, strict=True) if a >= 5) == lsh_forest.NEAR
