@@ -7,10 +7,12 @@ from catalog.q_scoring import ALIGNED, COSTS, OFFSET, SNAPS, OURS, ours
 from catalog.sqlgeo import inverse, iou, px, py
 from fieldmotion.operators import assign as A
 from fieldmotion.operators import bank as B
+from fieldmotion.operators import identity_walk as W
 from fieldmotion.operators import motion as K
 from fieldmotion.operators import planar as P
 from fieldmotion.operators import rejects as X
 from fieldmotion.operators import scoring as S
+from fieldmotion.operators.reliable import stage
 
 c = F.col
 FRAME = ["clip", "frame_idx"]
@@ -108,7 +110,22 @@ def kalman_track(t):
     return d.select("clip", "track_id", "frame_idx", *[r6(k).alias(k) for k in ("fx", "fy", "vx", "vy", "var")])
 
 
-HIST = """hs AS (SELECT clip, kind, slot, frame_idx, count(*) AS n_frame, max_by(u, corr_id) AS last_u, max_by(v, corr_id) AS last_v FROM fx_corrs GROUP BY clip, kind, slot, frame_idx),
+# Frame by frame: the bank before a frame judges it, and what it accepts changes the bank.
+WALK = """fr AS MATERIALIZED (SELECT clip, frame_idx, row_number() OVER (PARTITION BY clip ORDER BY frame_idx) AS i, list({'id': corr_id, 'k': kind||'|'||slot, 'u': u, 'v': v} ORDER BY corr_id) AS c FROM fx_corrs GROUP BY clip, frame_idx),
+wk AS (SELECT clip, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id VARCHAR, verdict VARCHAR)[]) AS said, CAST([] AS STRUCT(k VARCHAR, f BIGINT, l BIGINT, n BIGINT, u DOUBLE, v DOUBLE)[]) AS bank FROM fr WHERE i = 1
+  UNION ALL SELECT clip, i, list_transform(c, lambda x: {'id': x.id, 'verdict': x.said}), list_filter(list_transform(list_distinct(list_concat(list_transform(bank, lambda b: b.k), list_transform(list_filter(c, lambda x: x.said IN ('kept', 'probationary')), lambda x: x.k))),
+    lambda k: {'k': k, 'f': coalesce(list_filter(bank, lambda b: b.k = k)[1].f, frame_idx), 'l': CASE WHEN len(list_filter(c, lambda x: x.k = k AND x.said IN ('kept', 'probationary'))) > 0 THEN frame_idx ELSE list_filter(bank, lambda b: b.k = k)[1].l END,
+      'n': coalesce(list_filter(bank, lambda b: b.k = k)[1].n, 0) + len(list_filter(c, lambda x: x.k = k AND x.said IN ('kept', 'probationary'))),
+      'u': coalesce(list_filter(c, lambda x: x.k = k AND x.said IN ('kept', 'probationary'))[-1].u, list_filter(bank, lambda b: b.k = k)[1].u),
+      'v': coalesce(list_filter(c, lambda x: x.k = k AND x.said IN ('kept', 'probationary'))[-1].v, list_filter(bank, lambda b: b.k = k)[1].v)}), lambda b: frame_idx - b.l <= 8)
+  FROM (SELECT w.clip, f.i, CAST(f.frame_idx AS BIGINT) AS frame_idx, w.bank, list_transform(f.c, lambda x: {'id': x.id, 'k': x.k, 'u': x.u, 'v': x.v, 'said':
+      CASE WHEN len(list_filter(w.bank, lambda b: b.n >= 3 AND b.k <> x.k AND sqrt((x.u - b.u)*(x.u - b.u) + (x.v - b.v)*(x.v - b.v)) < 20)) > 0 THEN 'cross'
+      WHEN len(list_filter(w.bank, lambda b: b.n >= 3 AND b.k = x.k AND sqrt((x.u - b.u)*(x.u - b.u) + (x.v - b.v)*(x.v - b.v)) > 50)) > 0 THEN 'self'
+      WHEN f.frame_idx >= 5 AND len(list_filter(w.bank, lambda b: b.k = x.k AND (b.n >= 3 OR b.f < 5))) = 0 THEN 'probationary' ELSE 'kept' END}) AS c
+    FROM wk w JOIN fr f ON f.clip = w.clip AND f.i = w.i + 1)),
+vd AS MATERIALIZED (SELECT s.id AS corr_id, s.verdict FROM (SELECT unnest(said) AS s FROM wk)),
+ac AS MATERIALIZED (SELECT k.*, verdict FROM fx_corrs k JOIN vd USING (corr_id) WHERE verdict IN ('kept', 'probationary'))"""
+HIST = f"""{WALK}, hs AS (SELECT clip, kind, slot, frame_idx, count(*) AS n_frame, max_by(u, corr_id) AS last_u, max_by(v, corr_id) AS last_v FROM ac GROUP BY clip, kind, slot, frame_idx),
 hg AS (SELECT *, coalesce(frame_idx - lag(frame_idx) OVER w - 1 > 8, true) AS born, lag(frame_idx) OVER w AS pf, lag(last_u) OVER w AS pu, lag(last_v) OVER w AS pv, lead(frame_idx) OVER w AS next_frame FROM hs WINDOW w AS (PARTITION BY clip, kind, slot ORDER BY frame_idx)),
 he AS (SELECT *, sum(CASE WHEN born THEN 1 ELSE 0 END) OVER (PARTITION BY clip, kind, slot ORDER BY frame_idx) AS epoch FROM hg),
 hist AS MATERIALIZED (SELECT *, min(frame_idx) OVER (PARTITION BY clip, kind, slot, epoch) AS first_seen, sum(n_frame) OVER (PARTITION BY clip, kind, slot, epoch ORDER BY frame_idx) AS n_obs,
@@ -116,61 +133,66 @@ hist AS MATERIALIZED (SELECT *, min(frame_idx) OVER (PARTITION BY clip, kind, sl
 STATES = """st AS MATERIALIZED (SELECT clip, kind, slot, frame_idx AS last_seen, first_seen, n_obs, n_obs >= 3 AS trusted, last_u, last_v, unnest(range(frame_idx + 1, least(coalesce(next_frame, frame_idx + 9), frame_idx + 9) + 1)) AS frame_idx FROM hist)"""
 
 
+def states(t):
+    """(accepted correspondences, what each frame starts with)."""
+    judged = stage(W.judged_corrs(t.corrs))
+    return judged.where(c("verdict").isin("kept", "probationary")), B.states_before(W.accepted_history(judged))
+
+
 @query("identity_history", f"""
-WITH {HIST} SELECT clip, kind, slot, frame_idx, CAST(first_seen AS INT) AS first_seen, CAST(n_obs AS INT) AS n_obs, n_obs >= 3 AS trusted, CAST(prev_obs AS INT) AS prev_obs,
+WITH RECURSIVE {HIST} SELECT clip, kind, slot, frame_idx, CAST(first_seen AS INT) AS first_seen, CAST(n_obs AS INT) AS n_obs, n_obs >= 3 AS trusted, CAST(prev_obs AS INT) AS prev_obs,
   CASE WHEN NOT born THEN pf END AS prev_frame, {R6('CASE WHEN NOT born THEN pu END')} AS prev_u FROM hist""")
 def identity_history(t):
-    d = B.identity_history(t.corrs)
+    d = W.accepted_history(W.judged_corrs(t.corrs))
     return d.select("clip", "kind", "slot", "frame_idx", "first_seen", "n_obs", "trusted", "prev_obs", "prev_frame", r6("prev_u").alias("prev_u"))
 
 
 @query("cross_conflicts", f"""
-WITH {HIST}, {STATES} SELECT corr_id FROM fx_corrs k WHERE EXISTS (SELECT 1 FROM st WHERE trusted AND st.clip = k.clip AND st.frame_idx = k.frame_idx AND (st.kind <> k.kind OR st.slot <> k.slot)
+WITH RECURSIVE {HIST}, {STATES} SELECT corr_id FROM fx_corrs k WHERE EXISTS (SELECT 1 FROM st WHERE trusted AND st.clip = k.clip AND st.frame_idx = k.frame_idx AND (st.kind <> k.kind OR st.slot <> k.slot)
   AND sqrt((k.u-last_u)*(k.u-last_u) + (k.v-last_v)*(k.v-last_v)) < 20)""")
 def cross_conflicts(t):
-    return B.cross_conflicts(t.corrs, B.states_before(B.identity_history(t.corrs))).select("corr_id")
+    return B.cross_conflicts(t.corrs, states(t)[1]).select("corr_id")
 
 
 @query("prefilter_corrs", f"""
-WITH {HIST}, {STATES}, cr AS (SELECT corr_id FROM fx_corrs k WHERE EXISTS (SELECT 1 FROM st WHERE trusted AND st.clip = k.clip AND st.frame_idx = k.frame_idx AND (st.kind <> k.kind OR st.slot <> k.slot)
-  AND sqrt((k.u-last_u)*(k.u-last_u) + (k.v-last_v)*(k.v-last_v)) < 20))
-SELECT k.corr_id, CASE WHEN cr.corr_id IS NOT NULL THEN 'cross' WHEN prev_obs >= 3 AND sqrt((u-pu)*(u-pu) + (v-pv)*(v-pv)) > 50 THEN 'self'
-  WHEN NOT (k.frame_idx < 5 OR (prev_obs IS NOT NULL AND first_seen < 5)) AND coalesce(prev_obs, 0) < 3 THEN 'probationary' ELSE 'kept' END AS verdict
-FROM fx_corrs k JOIN hist h ON h.clip = k.clip AND h.kind = k.kind AND h.slot = k.slot AND h.frame_idx = k.frame_idx LEFT JOIN cr ON cr.corr_id = k.corr_id""")
+WITH RECURSIVE {WALK} SELECT corr_id, verdict FROM vd""")
 def prefilter_corrs(t):
-    return B.prefilter_corrs(t.corrs, B.identity_history(t.corrs)).select("corr_id", "verdict")
+    return B.prefilter_corrs(t.corrs).select("corr_id", "verdict")
 
 
 _KY = "CASE kind WHEN 'near_hash' THEN 23.583e0 WHEN 'far_hash' THEN 53.33e0 - 23.583e0 WHEN 'sideline_near' THEN 0e0 WHEN 'sideline_far' THEN 53.33e0 WHEN 'number_near' THEN 14e0 ELSE 39.33e0 END"
 
 
 @query("coast", f"""
-WITH {HIST}, {STATES}, i AS (SELECT st.*, 10e0 + 5*slot AS fx, {_KY} AS fy FROM st WHERE trusted AND st.frame_idx - last_seen <= 4 AND NOT EXISTS (SELECT 1 FROM hist k WHERE k.clip = st.clip AND k.kind = st.kind AND k.slot = st.slot AND k.frame_idx = st.frame_idx)),
+WITH RECURSIVE {HIST}, {STATES}, i AS (SELECT st.*, 10e0 + 5*slot AS fx, {_KY} AS fy FROM st WHERE trusted AND st.frame_idx - last_seen <= 4 AND NOT EXISTS (SELECT 1 FROM hist k WHERE k.clip = st.clip AND k.kind = st.kind AND k.slot = st.slot AND k.frame_idx = st.frame_idx)),
 f AS (SELECT clip, frame_idx + 1 AS frame_idx, {inverse('h')} AS inv FROM fx_frames WHERE h IS NOT NULL)
 SELECT i.clip, kind, slot, CAST(i.frame_idx AS INT) AS frame_idx, CAST(i.frame_idx - last_seen AS INT) AS coast_age, {R4(px('inv', 'fx', 'fy', 'clamp'))} AS u, {R4(py('inv', 'fx', 'fy', 'clamp'))} AS v
 FROM i JOIN f ON f.clip = i.clip AND f.frame_idx = i.frame_idx""")
 def coast(t):
-    d = B.coast(B.states_before(B.identity_history(t.corrs)), t.corrs, t.frames)
+    corrs, st = states(t)
+    d = B.coast(st, corrs, t.frames)
     return d.select("clip", "kind", "slot", "frame_idx", "coast_age", r4("u").alias("u"), r4("v").alias("v"))
 
 
 @query("validate_h", f"""
-WITH {HIST}, {STATES}, pts AS (SELECT k.clip, k.frame_idx, k.kind, k.slot, k.u, k.v, 'corr' AS via FROM fx_corrs k WHERE EXISTS (SELECT 1 FROM st WHERE trusted AND st.clip = k.clip AND st.kind = k.kind AND st.slot = k.slot AND st.frame_idx = k.frame_idx)
-  UNION ALL SELECT clip, frame_idx, kind, slot, last_u, last_v, 'track' FROM st WHERE trusted AND NOT EXISTS (SELECT 1 FROM hist k WHERE k.clip = st.clip AND k.kind = st.kind AND k.slot = st.slot AND k.frame_idx = st.frame_idx)),
-r AS (SELECT p.clip, p.frame_idx, via, sqrt(pow({px('h', 'u', 'v', 'clamp')} - (10e0 + 5*slot), 2) + pow({py('h', 'u', 'v', 'clamp')} - {_KY}, 2)) AS r FROM pts p JOIN fx_frames f ON f.clip = p.clip AND f.frame_idx = p.frame_idx WHERE h IS NOT NULL)
-SELECT clip, CAST(frame_idx AS INT) AS frame_idx, CAST(count(*) AS BIGINT) AS n_checked, CAST(count(*) FILTER (via = 'corr') AS BIGINT) AS n_via_corrs, CAST(count(*) FILTER (via = 'track') AS BIGINT) AS n_via_track,
+WITH RECURSIVE {HIST}, {STATES}, kp AS (SELECT * FROM ac WHERE verdict = 'kept'),
+pts AS (SELECT k.clip, k.frame_idx, k.kind, k.slot, k.u, k.v, 'corr' AS via FROM kp k WHERE EXISTS (SELECT 1 FROM st WHERE trusted AND st.clip = k.clip AND st.kind = k.kind AND st.slot = k.slot AND st.frame_idx = k.frame_idx)
+  UNION ALL SELECT clip, frame_idx, kind, slot, last_u, last_v, 'track' FROM st WHERE trusted AND NOT EXISTS (SELECT 1 FROM kp k WHERE k.clip = st.clip AND k.kind = st.kind AND k.slot = st.slot AND k.frame_idx = st.frame_idx)),
+r AS (SELECT f.clip, f.frame_idx, via, CASE WHEN via IS NOT NULL THEN sqrt(pow({px('h', 'u', 'v', 'clamp')} - (10e0 + 5*slot), 2) + pow({py('h', 'u', 'v', 'clamp')} - {_KY}, 2)) END AS r FROM fx_frames f LEFT JOIN pts p ON f.clip = p.clip AND f.frame_idx = p.frame_idx WHERE h IS NOT NULL)
+SELECT clip, CAST(frame_idx AS INT) AS frame_idx, CAST(count(via) AS BIGINT) AS n_checked, CAST(count(*) FILTER (via = 'corr') AS BIGINT) AS n_via_corrs, CAST(count(*) FILTER (via = 'track') AS BIGINT) AS n_via_track,
   CAST(count(*) FILTER (r > 30) AS BIGINT) AS n_bad, {R4('quantile_cont(r, 0.5)')} AS median_residual, {R4('avg(r)')} AS mean_residual,
-  count(*) FILTER (r > 30)/(1e0*count(*)) <= 0.34e0 AND quantile_cont(r, 0.5) <= 30 AS valid FROM r GROUP BY clip, frame_idx""")
+  count(via) = 0 OR (count(*) FILTER (r > 30)/(1e0*count(*)) <= 0.34e0 AND quantile_cont(r, 0.5) <= 30) AS valid FROM r GROUP BY clip, frame_idx""")
 def validate_h(t):
-    d = B.validate_h(t.corrs, B.states_before(B.identity_history(t.corrs)), t.frames, 30.0)
+    corrs, st = states(t)
+    d = B.validate_h(corrs.where("verdict = 'kept'"), st, t.frames, 30.0)
     return d.withColumns({"median_residual": r4("median_residual"), "mean_residual": r4("mean_residual")})
 
 
 @query("bank_stats", f"""
-WITH {HIST}, {STATES} SELECT clip, CAST(frame_idx AS INT) AS frame_idx, CAST(count(*) AS BIGINT) AS n_tracks, CAST(count(*) FILTER (trusted) AS BIGINT) AS n_trusted,
+WITH RECURSIVE {HIST}, {STATES} SELECT clip, CAST(frame_idx AS INT) AS frame_idx, CAST(count(*) AS BIGINT) AS n_tracks, CAST(count(*) FILTER (trusted) AS BIGINT) AS n_trusted,
   CAST(count(*) FILTER (kind = 'near_hash') AS BIGINT) AS n_near_hash, CAST(count(*) FILTER (kind = 'sideline_far') AS BIGINT) AS n_sideline_far FROM st GROUP BY clip, frame_idx""")
 def bank_stats(t):
-    return B.bank_stats(B.states_before(B.identity_history(t.corrs)), ["near_hash", "sideline_far"])
+    return B.bank_stats(states(t)[1], ["near_hash", "sideline_far"])
 
 
 @query("fit_homography")

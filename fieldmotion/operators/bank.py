@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldmotion.functions.field import kind_y, slot_x
 from fieldmotion.functions.geometry import project, unproject
+from fieldmotion.operators.identity_walk import judged_corrs
 from fieldmotion.operators.ordered import PIECE_BITS, bounded, running
 from fieldmotion.operators.rejects import near_pairs
 from fieldmotion.operators.reliable import stage
@@ -63,25 +64,11 @@ def cross_conflicts(corrs: DataFrame, states: DataFrame, radius: float = 20.0) -
     return near_pairs(corrs, others, "u", "v", "_ou", "_ov", radius, ["clip", "frame_idx"], "left_semi", other)
 
 
-def prefilter_corrs(corrs: DataFrame, history: DataFrame, min_trust: int = 3, cross_px: float = 20.0, self_px: float = 50.0,
-                    probation: int = 3, bootstrap: int = 5) -> DataFrame:
+def prefilter_corrs(corrs: DataFrame) -> DataFrame:
     """Verdict per correspondence: cross (another identity owns the pixel), self (jumped
-    from its own), probationary (too young), or kept.
-
-    Exact when every frame observes its correspondences; the streaming bank covers the
-    case where frames without a homography do not.
-    """
-    history = stage(history)
-    states = states_before(history.withColumn("trusted", F.col("n_obs") >= min_trust))
-    crossed = cross_conflicts(corrs, states, cross_px).select("corr_id").withColumn("_cross", F.lit(True))
-    own = history.select(*IDENTITY, "frame_idx", "prev_obs", "prev_u", "prev_v", F.col("first_seen").alias("_first"))
-    d = corrs.join(own, [*IDENTITY, "frame_idx"]).join(crossed, "corr_id", "left")
-    jump = (F.col("prev_obs") >= min_trust) & (F.hypot(F.col("u") - F.col("prev_u"), F.col("v") - F.col("prev_v")) > self_px)
-    exempt = (F.col("frame_idx") < bootstrap) | (F.col("prev_obs").isNotNull() & (F.col("_first") < bootstrap))
-    young = F.col("prev_obs").isNull() | (F.col("prev_obs") < probation)
-    verdict = (F.when(F.col("_cross"), "cross").when(F.coalesce(jump, F.lit(False)), "self")
-               .when(~exempt & young, "probationary").otherwise("kept"))
-    return d.withColumn("verdict", verdict).drop("prev_obs", "prev_u", "prev_v", "_first", "_cross")
+    from its own), probationary (too young), or kept; judged by what earlier frames of the
+    clip had accepted."""
+    return judged_corrs(corrs).select(*IDENTITY, "frame_idx", "corr_id", "u", "v", "verdict")
 
 
 def coast(states: DataFrame, corrs: DataFrame, frames: DataFrame, max_coast: int = 4) -> DataFrame:
@@ -97,18 +84,19 @@ def coast(states: DataFrame, corrs: DataFrame, frames: DataFrame, max_coast: int
 
 def validate_h(corrs: DataFrame, states: DataFrame, frames: DataFrame, tol: float = 1.0, bad_share: float = 0.34) -> DataFrame:
     """Check each frame's homography against trusted identities: current points of
-    trusted identities, and the last pixels of those not observed now."""
+    trusted identities, and the last pixels of those not observed now. A frame with a
+    homography and nothing to check is valid with n_checked 0."""
     trusted = states.where("trusted").select(*IDENTITY, "frame_idx", "last_u", "last_v")
     now = corrs.select(*IDENTITY, "frame_idx", "u", "v").join(trusted, [*IDENTITY, "frame_idx"], "left_semi").withColumn("via", F.lit("corr"))
     gone = trusted.join(corrs.select(*IDENTITY, "frame_idx").distinct(), [*IDENTITY, "frame_idx"], "left_anti")
     both = now.unionByName(gone.withColumnsRenamed({"last_u": "u", "last_v": "v"}).withColumn("via", F.lit("track")))
-    placed = both.join(frames.where(F.col("h").isNotNull()).select("clip", "frame_idx", "h"), ["clip", "frame_idx"])
+    held = frames.where(F.col("h").isNotNull()).select("clip", "frame_idx", "h")
     x, y = project(F.col("h"), F.col("u"), F.col("v"), "clamp")
-    r = F.hypot(x - slot_x(F.col("slot")), y - kind_y(F.col("kind")))
-    out = placed.withColumn("_r", r).groupBy("clip", "frame_idx").agg(
-        F.count("*").alias("n_checked"), F.count_if(F.col("via") == "corr").alias("n_via_corrs"), F.count_if(F.col("via") == "track").alias("n_via_track"),
+    r = F.when(F.col("via").isNotNull(), F.hypot(x - slot_x(F.col("slot")), y - kind_y(F.col("kind"))))
+    out = held.join(both, ["clip", "frame_idx"], "left").withColumn("_r", r).groupBy("clip", "frame_idx").agg(
+        F.count("via").alias("n_checked"), F.count_if(F.col("via") == "corr").alias("n_via_corrs"), F.count_if(F.col("via") == "track").alias("n_via_track"),
         F.count_if(F.col("_r") > tol).alias("n_bad"), F.percentile("_r", F.lit(0.5)).alias("median_residual"), F.avg("_r").alias("mean_residual"))
-    valid = (F.col("n_bad") / F.col("n_checked") <= bad_share) & (F.col("median_residual") <= tol)
+    valid = (F.col("n_checked") == 0) | ((F.col("n_bad") / F.col("n_checked") <= bad_share) & (F.col("median_residual") <= tol))
     return out.withColumn("valid", valid)
 
 
