@@ -174,14 +174,18 @@ def coast(t):
     return d.select("clip", "kind", "slot", "frame_idx", "coast_age", r4("u").alias("u"), r4("v").alias("v"))
 
 
-@query("validate_h", f"""
-WITH RECURSIVE {HIST}, {STATES}, kp AS (SELECT * FROM ac WHERE verdict = 'kept'),
+# residuals of trusted identities under each frame's homography; ck has one row a frame with a homography
+CHECKED = f"""kp AS (SELECT * FROM ac WHERE verdict = 'kept'),
 pts AS (SELECT k.clip, k.frame_idx, k.kind, k.slot, k.u, k.v, 'corr' AS via FROM kp k WHERE EXISTS (SELECT 1 FROM st WHERE trusted AND st.clip = k.clip AND st.kind = k.kind AND st.slot = k.slot AND st.frame_idx = k.frame_idx)
   UNION ALL SELECT clip, frame_idx, kind, slot, last_u, last_v, 'track' FROM st WHERE trusted AND NOT EXISTS (SELECT 1 FROM kp k WHERE k.clip = st.clip AND k.kind = st.kind AND k.slot = st.slot AND k.frame_idx = st.frame_idx)),
-r AS (SELECT f.clip, f.frame_idx, via, CASE WHEN via IS NOT NULL THEN sqrt(pow({px('h', 'u', 'v', 'clamp')} - (10e0 + 5*slot), 2) + pow({py('h', 'u', 'v', 'clamp')} - {_KY}, 2)) END AS r FROM fx_frames f LEFT JOIN pts p ON f.clip = p.clip AND f.frame_idx = p.frame_idx WHERE h IS NOT NULL)
-SELECT clip, CAST(frame_idx AS INT) AS frame_idx, CAST(count(via) AS BIGINT) AS n_checked, CAST(count(*) FILTER (via = 'corr') AS BIGINT) AS n_via_corrs, CAST(count(*) FILTER (via = 'track') AS BIGINT) AS n_via_track,
-  CAST(count(*) FILTER (r > 30) AS BIGINT) AS n_bad, {R4('quantile_cont(r, 0.5)')} AS median_residual, {R4('avg(r)')} AS mean_residual,
-  count(via) = 0 OR (count(*) FILTER (r > 30)/(1e0*count(*)) <= 0.34e0 AND quantile_cont(r, 0.5) <= 30) AS valid FROM r GROUP BY clip, frame_idx""")
+rs AS (SELECT f.clip, f.frame_idx, via, CASE WHEN via IS NOT NULL THEN sqrt(pow({px('h', 'u', 'v', 'clamp')} - (10e0 + 5*slot), 2) + pow({py('h', 'u', 'v', 'clamp')} - {_KY}, 2)) END AS r FROM fx_frames f LEFT JOIN pts p ON f.clip = p.clip AND f.frame_idx = p.frame_idx WHERE h IS NOT NULL),
+ck AS (SELECT clip, CAST(frame_idx AS INT) AS frame_idx, CAST(count(via) AS BIGINT) AS n_checked, CAST(count(*) FILTER (via = 'corr') AS BIGINT) AS n_via_corrs, CAST(count(*) FILTER (via = 'track') AS BIGINT) AS n_via_track,
+  CAST(count(*) FILTER (r > {{tol}}) AS BIGINT) AS n_bad, {R4('quantile_cont(r, 0.5)')} AS median_residual, {R4('avg(r)')} AS mean_residual,
+  count(via) = 0 OR (count(*) FILTER (r > {{tol}})/(1e0*count(*)) <= 0.34e0 AND quantile_cont(r, 0.5) <= {{tol}}) AS valid FROM rs GROUP BY clip, frame_idx)"""
+
+
+@query("validate_h", f"""
+WITH RECURSIVE {HIST}, {STATES}, {CHECKED.format(tol=30)} SELECT * FROM ck""")
 def validate_h(t):
     corrs, st = states(t)
     d = B.validate_h(corrs.where("verdict = 'kept'"), st, t.frames, 30.0)

@@ -5,46 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmotion.functions.field import kind_y, slot_x
 from fieldmotion.functions.geometry import project, unproject
-from fieldmotion.operators.identity_walk import judged_corrs
-from fieldmotion.operators.ordered import PIECE_BITS, bounded, running
+from fieldmotion.operators.identity_walk import IDENTITY, MAX_IDLE, judged_corrs
 from fieldmotion.operators.rejects import near_pairs
-from fieldmotion.operators.reliable import stage
-
-IDENTITY = ["clip", "kind", "slot"]
-MAX_IDLE = 8
-
-
-def identity_history(corrs: DataFrame, min_obs: int = 3, max_idle: int = MAX_IDLE, bits: int = PIECE_BITS) -> DataFrame:
-    """Per identity and observed frame: first_seen, running n_obs, trusted, last pixel and
-    the state before the frame (prev_*). More than ``max_idle`` empty frames end an
-    identity; it is then born anew.
-
-    Observations of one frame are summed first, so the sequence is one row per frame.
-    """
-    seen = corrs.groupBy(*IDENTITY, "frame_idx").agg(F.count("*").alias("n_frame"), F.max_by(F.struct("u", "v"), "corr_id").alias("_p"))
-    seen = seen.select(*IDENTITY, "frame_idx", "n_frame", F.col("_p.u").alias("last_u"), F.col("_p.v").alias("last_v"))
-
-    def gaps(w):
-        idle = F.col("frame_idx") - F.lag("frame_idx").over(w) - 1
-        return {"_born": F.coalesce(idle > max_idle, F.lit(True)), "prev_frame": F.lag("frame_idx").over(w),
-                "prev_u": F.lag("last_u").over(w), "prev_v": F.lag("last_v").over(w), "_next": F.lead("frame_idx").over(w)}
-
-    reach = max_idle + 1
-    cut = stage(bounded(seen, IDENTITY, "frame_idx", reach, reach, gaps, bits))  # two carry passes follow
-    counted = running(cut, IDENTITY, "frame_idx", {"_n": ("sum", F.col("n_frame")), "first_seen": ("max", F.when(F.col("_born"), F.col("frame_idx")))}, bits=bits)
-    based = running(counted, IDENTITY, "frame_idx", {"_base": ("max", F.when(F.col("_born"), F.col("_n") - F.col("n_frame")))}, bits=bits)
-    out = based.withColumn("n_obs", (F.col("_n") - F.col("_base")).cast("int")).withColumn("trusted", F.col("n_obs") >= min_obs)
-    prior = ~F.col("_born")
-    return out.select(*IDENTITY, "frame_idx", "first_seen", "n_obs", "trusted", "last_u", "last_v",
-                      F.when(prior, (F.col("n_obs") - F.col("n_frame")).cast("int")).alias("prev_obs"),
-                      F.when(prior, F.col("prev_frame")).alias("prev_frame"),
-                      F.when(prior, F.col("prev_u")).alias("prev_u"), F.when(prior, F.col("prev_v")).alias("prev_v"),
-                      F.col("_next").alias("next_frame"))
 
 
 def states_before(history: DataFrame, max_idle: int = MAX_IDLE) -> DataFrame:

@@ -2,27 +2,34 @@
 
 A step is ``step(state, frame_idx, rows) -> list of output dicts``: it gets the clip's
 state (a dict of plain values, changed in place) and one frame's rows. Frames arrive in
-order; a frame at or before the last one is late and only counted.
+order. A stream holds the newest frame back until a later one arrives, since more of its
+rows may come; rows of a frame that was already stepped are late: they give one output row
+with their number in ``n_late`` and nothing else. A row with frame_idx END_FRAME ends its
+clip and sets the held frame free.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from fieldmotion.operators.reliable import spread
 
 Step = Callable[[dict, int, pd.DataFrame], list[dict]]
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+END_FRAME = 2**31 - 1
 
 
 def _columns(schema: str) -> T.StructType:
-    return T.StructType.fromDDL(schema)
+    return T.StructType.fromDDL(schema + ", n_late int")
 
 
 def advance(step: Step, state: dict, clip: str, rows: pd.DataFrame, names: list[str]) -> pd.DataFrame:
@@ -30,16 +37,24 @@ def advance(step: Step, state: dict, clip: str, rows: pd.DataFrame, names: list[
     out: list[dict] = []
     for frame, part in rows.sort_values("frame_idx", kind="stable").groupby("frame_idx", sort=True):
         if frame <= state.get("last_frame", -1):
-            state["n_late"] = state.get("n_late", 0) + len(part)
+            out.append({"clip": clip, "frame_idx": int(frame), "n_late": len(part)})
             continue
         state["last_frame"] = int(frame)
         for row in step(state, int(frame), part):
-            out.append({"clip": clip, "frame_idx": int(frame), **row})
+            out.append({"clip": clip, "frame_idx": int(frame), "n_late": 0, **row})
     return pd.DataFrame(out, columns=names)
 
 
+def _plain(v):
+    return v.tolist() if hasattr(v, "tolist") else str(v)
+
+
 class ClipProcessor(StatefulProcessor):
-    """Keeps one clip's state as JSON; a clip idle for ``idle_ms`` is forgotten."""
+    """One clip's state: small values as JSON, identities by (kind, slot), the open frame's rows.
+
+    A clip idle for ``idle_ms`` steps its open frame and is forgotten; identities expire
+    by themselves after that time as well.
+    """
 
     def __init__(self, step: Step, names: list[str], idle_ms: int | None):
         self.step, self.names, self.idle_ms = step, names, idle_ms
@@ -47,21 +62,62 @@ class ClipProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("clip_state", "state string")
+        self.bank = handle.getMapState("identities", "kind string, slot int", "first int, n int, last int, u double, v double", self.idle_ms)
+        self.open = handle.getListState("open_frame", "row string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _load(self) -> dict:
         state = json.loads(self.kept.get()[0]) if self.kept.exists() else {}
-        batch = pd.concat(list(rows), ignore_index=True)
-        out = advance(self.step, state, key[0], batch, self.names)
+        bank = {f"{kind}|{slot}": {"first": first, "n": n, "last": last, "at": [u, v]} for (kind, slot), (first, n, last, u, v) in self.bank.iterator()} if self.bank.exists() else {}
+        return {**state, "bank": bank} if bank else state
+
+    def _save(self, state: dict, before: dict) -> None:
+        bank = state.pop("bank", {})
+        entry = lambda t: (t["first"], t["n"], t["last"], *t["at"])
+        name = lambda k: (k.rsplit("|", 1)[0], int(k.rsplit("|", 1)[1]))
+        for k in before.keys() - bank.keys():
+            self.bank.removeKey(name(k))
+        for k, t in bank.items():
+            if before.get(k) != entry(t):
+                self.bank.updateValue(name(k), entry(t))
         self.kept.update((json.dumps(state),))
+
+    def _step(self, clip: str, rows: pd.DataFrame) -> pd.DataFrame:
+        state = self._load()
+        before = {k: (t["first"], t["n"], t["last"], *t["at"]) for k, t in state.get("bank", {}).items()}
+        out = advance(self.step, state, clip, rows, self.names)
+        self._save(state, before)
+        return out
+
+    def _held(self) -> list[dict]:
+        return [json.loads(r[0]) for r in self.open.get()] if self.open.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        ended = bool((batch["frame_idx"] == END_FRAME).any())
+        batch = batch[batch["frame_idx"] != END_FRAME]
+        held = self._held()
+        if held:
+            batch = pd.concat([pd.DataFrame(held, columns=batch.columns), batch], ignore_index=True)
+        newest = batch["frame_idx"].max() if len(batch) and not ended else None
+        late = newest is not None and self.kept.exists() and newest <= json.loads(self.kept.get()[0]).get("last_frame", -1)
+        rest = batch[batch["frame_idx"] == newest] if newest is not None and not late else batch[:0]
+        ready = batch.drop(rest.index)
+        self.open.clear()
+        if len(rest):
+            self.open.put([(json.dumps(r, default=_plain),) for r in rest.to_dict("records")])
         if self.idle_ms:
             for old in self.handle.listTimers():
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield out
+        yield self._step(key[0], ready)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        if held:
+            yield self._step(key[0], pd.DataFrame(held))
         self.kept.clear()
-        return iter([])
+        self.bank.clear()
+        self.open.clear()
 
     def close(self) -> None:
         pass
@@ -71,15 +127,34 @@ def run_stream(rows: DataFrame, step: Step, schema: str, idle_ms: int | None = N
     """Streaming output of the step over a stream of rows with clip and frame_idx.
 
     ``idle_ms`` sets a processing-time timer per clip; it keeps the query running, so use
-    it with a continuous trigger, not with ``availableNow``.
+    it with a continuous trigger, not with ``availableNow``. The query must be started
+    with the state store of ``keyed_state``.
     """
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out = _columns(schema)
     return rows.groupBy("clip").transformWithStateInPandas(
         statefulProcessor=ClipProcessor(step, out.fieldNames(), idle_ms), outputStructType=out,
         outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None")
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Start queries inside with the state store that keyed states need; the session keeps its own."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+def closed(rows: DataFrame) -> DataFrame:
+    """The rows and an end mark for each clip, for input that is complete."""
+    marks = F.explode(F.array(F.lit(False), F.lit(True))).alias("_end")
+    kept = [F.when(~F.col("_end"), F.col(f"`{c}`")).alias(c) for c in rows.columns if c not in ("clip", "frame_idx")]
+    both = rows.select("*", marks)
+    return both.select("clip", F.when(F.col("_end"), F.lit(END_FRAME)).otherwise(F.col("frame_idx")).cast("int").alias("frame_idx"), *kept).select(*rows.columns)
+
+
 def run_batch(rows: DataFrame, step: Step, schema: str) -> DataFrame:
     """Batch twin: clips are hashed to partitions and read in frame order as Arrow
     batches, so a task holds one frame and one clip's state, never a whole clip."""
@@ -108,7 +183,8 @@ def run_batch(rows: DataFrame, step: Step, schema: str) -> DataFrame:
 
 def drain(stream: DataFrame, path: str) -> DataFrame:
     """Run a stream over everything available into parquet files and read them back."""
-    query = (stream.writeStream.format("parquet").option("path", f"{path}/out")
-             .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start())
+    with keyed_state(stream.sparkSession):
+        query = (stream.writeStream.format("parquet").option("path", f"{path}/out")
+                 .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start())
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")

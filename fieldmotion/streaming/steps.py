@@ -13,7 +13,7 @@ from fieldmotion.operators.planar import consensus_fit, mapped
 
 # --- identity bank -----------------------------------------------------------
 
-BANK_SCHEMA = "clip string, frame_idx int, n_input int, n_kept int, n_probationary int, n_self int, n_cross int, n_tracks int, n_trusted int"
+BANK_SCHEMA = "clip string, frame_idx int, n_input int, n_kept int, n_probationary int, n_self int, n_cross int, n_tracks int, n_trusted int, n_checked int, n_bad int, median_residual double, valid boolean"
 
 # Trust, pruning, pixel tolerances, probation and bootstrap.
 TRUST, MAX_IDLE, SELF_PX, CROSS_PX, PROBATION, BOOTSTRAP = 3, 8, 50.0, 20.0, 3, 5
@@ -52,18 +52,33 @@ def observe(bank: dict, frame: int, rows: pd.DataFrame) -> None:
         del bank[name]
 
 
-def agrees(bank: dict, h: np.ndarray, rows: pd.DataFrame, tol: float = 0.7, bad_share: float = 0.20) -> bool:
-    """Does a homography put trusted identities where they belong?"""
+def residuals(bank: dict, h: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+    """Where a homography puts trusted identities, in yards from where they belong: the
+    rows of trusted ones, and the last pixels of those without a row."""
     trusted = {k: t for k, t in bank.items() if t["n"] >= TRUST}
     keys = [_key(k, s) for k, s in zip(rows["kind"], rows["slot"])]
     seen = [(k, p) for k, p in zip(keys, rows[["u", "v"]].to_numpy(float)) if k in trusted]
     seen += [(k, t["at"]) for k, t in trusted.items() if k not in set(keys)]
     if not seen:
-        return True
+        return np.zeros(0)
     spots = [k.split("|") for k, _ in seen]
     home = np.array([[10.0 + 5 * int(s), KIND_Y[k]] for k, s in spots])
-    r = np.linalg.norm(mapped(h, np.array([p for _, p in seen], dtype=float)) - home, axis=1)
-    return bool((r > tol).mean() <= bad_share and np.median(r) <= tol)
+    return np.linalg.norm(mapped(h, np.array([p for _, p in seen], dtype=float)) - home, axis=1)
+
+
+def agrees(bank: dict, h: np.ndarray, rows: pd.DataFrame, tol: float = 0.7, bad_share: float = 0.20) -> bool:
+    """Does a homography put trusted identities where they belong?"""
+    r = residuals(bank, h, rows)
+    return not len(r) or bool((r > tol).mean() <= bad_share and np.median(r) <= tol)
+
+
+def validated(bank: dict, h, rows: pd.DataFrame, tol: float = 1.0, bad_share: float = 0.34) -> dict:
+    """The check of a frame's homography as columns; nothing without a homography."""
+    if h is None or not len(h):
+        return {"n_checked": None, "n_bad": None, "median_residual": None, "valid": None}
+    r = residuals(bank, np.array(h, dtype=float).reshape(3, 3), rows)
+    return {"n_checked": len(r), "n_bad": int((r > tol).sum()), "median_residual": float(np.median(r)) if len(r) else None,
+            "valid": agrees(bank, np.array(h, dtype=float).reshape(3, 3), rows, tol, bad_share)}
 
 
 def _present(rows: pd.DataFrame) -> pd.DataFrame:
@@ -72,12 +87,14 @@ def _present(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def bank_step(state: dict, frame: int, rows: pd.DataFrame) -> list[dict]:
+    h = next((x for x in rows["h"] if x is not None and not np.isscalar(x)), None) if "h" in rows else None
     bank, rows = state.setdefault("bank", {}), _present(rows)
     verdict = judge(bank, frame, rows) if len(rows) else np.array([], dtype=object)
+    check = validated(bank, h, rows[verdict == "kept"])
     observe(bank, frame, rows[np.isin(verdict, ("kept", "probationary"))])
     count = lambda v: int((verdict == v).sum())
     return [{"n_input": len(rows), "n_kept": count("kept"), "n_probationary": count("probationary"), "n_self": count("self"),
-             "n_cross": count("cross"), "n_tracks": len(bank), "n_trusted": sum(t["n"] >= TRUST for t in bank.values())}]
+             "n_cross": count("cross"), "n_tracks": len(bank), "n_trusted": sum(t["n"] >= TRUST for t in bank.values()), **check}]
 
 
 # --- homography chain --------------------------------------------------------

@@ -1,10 +1,11 @@
-"""Streams and their batch twins give the same rows; late frames are dropped."""
+"""Streams and their batch twins give the same rows, frames split over micro-batches too; late rows are counted."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from fieldmotion.operators import identity_walk as W
 from fieldmotion.streaming import clips as C
-from fieldmotion.streaming.machine import advance, drain
+from fieldmotion.streaming.machine import END_FRAME, PROVIDER, advance, closed, drain
 from fieldmotion.streaming.steps import streak_step
 from fieldmotion.streaming.tracker import track_step
 
@@ -24,9 +25,11 @@ def detections(spark, n=30):
 
 
 def live(spark, df, path, files=3):
+    """Micro-batches that cut frames 10 and 20 in two, and the end of every clip."""
+    part = F.least(F.lit(files - 1), F.floor((F.col("frame_idx") + F.abs(F.xxhash64(*[c for c in df.columns if c != "sig"])) % 2) / 11))
     for i in range(files):
-        lo, hi = 10 * i, 10 * (i + 1) if i < files - 1 else 10**6
-        df.where((F.col("frame_idx") >= lo) & (F.col("frame_idx") < hi)).coalesce(1).write.mode("append").parquet(path)
+        df.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    closed(df).where(F.col("frame_idx") == END_FRAME).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -76,13 +79,50 @@ def test_h_chain_falls_back(spark, tmp_path):
     assert same(batch, drain(C.h_chain(live(spark, d, str(tmp_path / "in"))), str(tmp_path / "run")))
 
 
+CORRS = "clip string, frame_idx int, corr_id string, kind string, slot int, u double, v double, fx double, fy double, h array<double>"
+
+
+def correspondences(spark, n=30):
+    rows = []
+    for f in range(n):
+        for slot in range(6):
+            for kind, y in (("near_hash", 23.583), ("far_hash", 29.747)):
+                jump = 200 * (slot == 2 and f % 9 == 8) + (f > 24) * 90
+                rows.append(("ab"[slot % 2], f, f"{slot}{kind}{f:03}", kind, slot, 200.0 + 100 * slot + jump, y * 12 + 30, 10.0 + 5 * slot, y, [0.05, 0.0, 0.0, 0.0, 1 / 12, -2.5, 0.0, 0.0, 1.0] if f % 4 else None))
+    return spark.createDataFrame(rows, CORRS)
+
+
+def test_bank_stream_equals_batch_with_split_frames(spark, tmp_path):
+    d = correspondences(spark)
+    before = spark.conf.get(PROVIDER, None)
+    batch, stream = C.keypoint_bank(d), drain(C.keypoint_bank(live(spark, d, str(tmp_path / "in"))), str(tmp_path / "run"))
+    assert same(batch, stream) and batch.where("valid is not null").count() > 0 and spark.conf.get(PROVIDER, None) == before
+    counts = W.judged_corrs(d).groupBy("clip", "frame_idx").agg(*[F.count_if(F.col("verdict") == v).cast("int").alias(f"n_{v}") for v in ("kept", "probationary", "self", "cross")])
+    assert same(counts, batch) and counts.agg(F.sum("n_self")).first()[0] > 0
+
+
+def test_late_rows_come_out_counted(spark, tmp_path):
+    d = spark.createDataFrame([("a", f, "carry") for f in range(6)], "clip string, frame_idx int, method string")
+    for part in (d.where("frame_idx < 4"), d.where("frame_idx = 4"), d.where("frame_idx in (1, 2)").union(d.where("frame_idx = 2")), closed(d.where("frame_idx = 5"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r["frame_idx"], r["n_late"], r["streak"]) for r in drain(C.carry_streak(stream), str(tmp_path / "run")).collect()}
+    assert got == {(f, 0, f + 1) for f in range(6)} | {(1, 1, None), (2, 2, None)}
+
+
+def test_coloured_tracker_stream_equals_batch(spark, tmp_path):
+    d = detections(spark).withColumn("sig", F.array(*[(F.col("det_idx") == k).cast("double") + 0.1 for k in range(3)]))
+    stream = drain(C.track_players(live(spark, d, str(tmp_path / "in"))), str(tmp_path / "run"))
+    assert same(C.track_players(d), stream)
+
+
 def test_late_frames_are_counted_not_processed():
     state = {}
     rows = lambda fs: pd.DataFrame({"frame_idx": fs, "method": ["carry"] * len(fs)})
-    names = ["clip", "frame_idx", "streak", "lost_from"]
+    names = ["clip", "frame_idx", "streak", "lost_from", "n_late"]
     advance(streak_step, state, "a", rows([0, 1]), names)
     out = advance(streak_step, state, "a", rows([1, 2]), names)
-    assert list(out["frame_idx"]) == [2] and state["n_late"] == 1
+    assert out[["frame_idx", "n_late"]].values.tolist() == [[1, 1], [2, 0]]
 
 
 def test_lost_track_is_revived_with_its_id():
