@@ -3,13 +3,13 @@
 A class (all texts of one word sequence) has a label of DEPTH min-hashes in each of TREES
 sorted orders. Classes whose labels agree in the first LEAST places form a region of that
 order; inside it neighbours in sorted order share the longest prefixes. In a small region
-every two classes are candidates. In a crowded one the depth adapts: only the nearest
-neighbours in label order are, so that no region costs more than in proportion to its size.
+every two classes are candidates. In a crowded one the depth adapts: only the next
+neighbour in label order is, so that no region costs more than in proportion to its size.
 
 Candidates whose bit sketches or sizes cannot belong to a link go at once; the others are
-confirmed on the full sets, each class's best partners first and then all that lie in
-different components. What the adapted depth may have missed, links between components
-that meet in a crowded region, is searched exactly by a prefix join of those classes.
+confirmed on the full sets. What the adapted depth may have missed, links between
+components that meet in a crowded region, is searched exactly by a prefix join of those
+classes.
 """
 
 from __future__ import annotations
@@ -18,17 +18,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmotion.llm.common import parallelism, stored
-from fieldmotion.llm.ngram_jaccard import links, merged
+from fieldmotion.llm.ngram_jaccard import all_pairs, components, merged, verified
 from fieldmotion.llm.shingles import mixed, shingle_hashes
 
 #: A pair of Jaccard 0.8 meets in no order with chance (1 - 0.8 ** LEAST) ** TREES, 3e-8.
 TREES, DEPTH, LEAST = 24, 6, 3
 #: Regions of up to SMALL classes are compared in full, others over NEAR neighbours.
-SMALL, NEAR = 32, 4
+SMALL, NEAR = 32, 1
 #: Regions of more classes than PART are dealt to parts by a hash of class and order.
 PART = 1 << 16
 #: Bits of a sketch, and how many may differ: a pair of 0.8 differs in more with chance 1e-6.
@@ -203,14 +203,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "at", "bt").mapInArrow(run, "a binary, b binary")
 
 
-def _apart(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Pairs that are not in one component already."""
-    if label is None:
-        return pairs
-    at = lambda c, r: label.select(F.col("node").alias(c), F.col("root").alias(r))
-    return pairs.join(at("a", "ar"), "a", "left").join(at("b", "br"), "b", "left").where(F.coalesce("ar", "a") != F.coalesce("br", "b")).select(*pairs.columns)
-
-
 def prefix_sets(sets: DataFrame, percent: int) -> DataFrame:
     """(sig, n, base, m, tokens) as the exact join reads them: shingles of two classes or
     more, rarest first, with plain prefixes (m = 1)."""
@@ -230,6 +222,15 @@ def prefix_sets(sets: DataFrame, percent: int) -> DataFrame:
             .select("sig", F.col("n").cast("int").alias("n"), (F.size("tokens") - need + 1).cast("int").alias("base"), F.lit(1).alias("m"), "tokens").where("base > 0"))
 
 
+def rest_links(sets: DataFrame, with_comp, percent: int) -> DataFrame:
+    """All links (a, b) between different components, by an exact prefix join."""
+    unique = F.col("n") - F.size("tokens")
+    prefix = sets.select("sig", "n", "m", unique.alias("unique"), F.posexplode(F.slice("tokens", F.lit(1), F.least(F.size("tokens"), F.col("base")))).alias("pos", "token"))
+    live = stored(with_comp(prefix.withColumn("place", F.col("unique") + F.col("pos") + 1)), "forest-live")
+    several = live.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    return verified(all_pairs(live.join(several, "token", "left_semi"), percent), sets, percent)
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, sig) for every row of documents (doc_id, text).
 
@@ -248,23 +249,20 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(crowded.select("sig")).distinct()
     sets = stored(full_sets(docs, k).join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("set").alias("set")), "forest-sets")
 
-    both = pairs.select("a", "b", "c", F.col("a").alias("x")).union(pairs.select("a", "b", "c", F.col("b").alias("x")))
-    best = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), F.xxhash64("a", "b")))
-    label = None
-    for found in (lambda: both.withColumn("_r", best).where("_r <= 2").select("a", "b").distinct(), lambda: _apart(pairs.select("a", "b"), label)):
-        linked = stored(confirmed(found(), sets, percent), "forest-links")
-        if not linked.isEmpty():
-            label = merged(label, linked)
-
-    comp = crowded if label is None else crowded.join(label.withColumnRenamed("node", "sig"), "sig", "left")
-    comp = comp.withColumn("comp", F.col("sig") if label is None else F.coalesce("root", "sig"))
-    open_regions = comp.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("region")
+    linked = stored(confirmed(pairs, sets, percent), "forest-links")
+    label = None if linked.isEmpty() else components(linked)
+
+    def with_comp(rows: DataFrame) -> DataFrame:
+        if label is None:
+            return rows.withColumn("comp", F.col("sig"))
+        return rows.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
+
+    open_regions = with_comp(crowded).groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("region")
     rest = stored(crowded.join(open_regions, "region", "left_semi").select("sig").distinct(), "forest-rest")
     if not rest.isEmpty():
-        more = links(stored(prefix_sets(sets.join(rest, "sig", "left_semi"), percent), "forest-rest-sets"), percent)
-        if more is not None:
-            edges = more.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
-            label = merged(label, edges)
+        found = stored(rest_links(stored(prefix_sets(sets.join(rest, "sig", "left_semi"), percent), "forest-rest-sets"), with_comp, percent), "forest-rest-links")
+        if not found.isEmpty():
+            label = merged(label, found)
 
     if label is None:
         component = classes.select("sig", F.col("least").alias("component"))
