@@ -86,37 +86,39 @@ def _sq(a, b, n):
     return "(" + " + ".join(f"({a}[{i}]-{b}[{i}])*({a}[{i}]-{b}[{i}])" for i in range(1, n + 1)) + ")"
 
 
-def two_means_sql(source, width, order, weight="1e0", rounds=4):
+def two_means_sql(source, width, order, weight="1e0", starts=10):
     """CTE list ending in km (clip, c0, c1); ``source`` has clip, <order>, v, and weight columns."""
-    steps = [f"km0a AS (SELECT clip, min_by(v, {order}) AS c0 FROM {source} GROUP BY clip)",
-             f"km0 AS (SELECT s.clip, any_value(c0) AS c0, max_by(v, {{'d': {_sq('v', 'c0', width)}, 'o': -{order}}}) AS c1 FROM {source} s JOIN km0a USING (clip) GROUP BY s.clip)"]
-    for r in range(rounds):
-        means = [f"[{', '.join(f'sum(CASE WHEN k = {k} THEN v[{i}]*{weight} END)/sum(CASE WHEN k = {k} THEN {weight} END)' for i in range(1, width + 1))}]" for k in (0, 1)]
-        steps.append(f"km{r+1}k AS (SELECT s.*, c0, c1, CASE WHEN {_sq('v', 'c1', width)} < {_sq('v', 'c0', width)} THEN 1 ELSE 0 END AS k FROM {source} s JOIN km{r} USING (clip))")
-        steps.append(f"km{r+1} AS (SELECT clip, CASE WHEN n0[1] IS NULL THEN c0 ELSE n0 END AS c0, CASE WHEN n1[1] IS NULL THEN c1 ELSE n1 END AS c1 FROM (SELECT clip, {means[0]} AS n0, {means[1]} AS n1, any_value(c0) AS c0, any_value(c1) AS c1 FROM km{r+1}k GROUP BY clip))")
-    return ",\n".join(steps) + f",\nkm AS (SELECT * FROM km{rounds})"
+    mean = lambda k: "[" + ", ".join(f"sum(v[{i}]*w) FILTER (k = {k})/sum(w) FILTER (k = {k})" for i in range(1, width + 1)) + "]"
+    return f"""km0a AS (SELECT clip, j, min_by(v, md5(j||'|'||{order})) AS c0 FROM {source}, (SELECT unnest(range({starts})) AS j) GROUP BY clip, j),
+km0 AS (SELECT s.clip, j, any_value(c0) AS c0, max_by(v, {{'d': {_sq('v', 'c0', width)}, 'o': -{order}}}) AS c1 FROM {source} s JOIN km0a USING (clip) GROUP BY s.clip, j),
+kr AS (SELECT clip, j, 0 AS turn, c0, c1, '' AS was, 'start' AS now, 0e0 AS inertia FROM km0
+  UNION ALL SELECT clip, j, any_value(turn) + 1, CASE WHEN count(*) FILTER (k = 0) > 0 THEN {mean(0)} ELSE any_value(c0) END, CASE WHEN count(*) FILTER (k = 1) > 0 THEN {mean(1)} ELSE any_value(c1) END,
+    any_value(now), string_agg(CAST(k AS VARCHAR), '' ORDER BY o), sum(w*least(d0, d1))
+  FROM (SELECT *, CASE WHEN d1 < d0 THEN 1 ELSE 0 END AS k FROM (SELECT s.clip, j, turn, now, c0, c1, v, s.{order} AS o, {weight} AS w, {_sq('v', 'c0', width)} AS d0, {_sq('v', 'c1', width)} AS d1
+    FROM kr JOIN {source} s USING (clip) WHERE was <> now)) GROUP BY clip, j),
+km AS (SELECT clip, c0, c1 FROM kr WHERE was = now QUALIFY row_number() OVER (PARTITION BY clip ORDER BY round(inertia, 6), j) = 1)"""
 
 
 @query("kmeans_split", f"""
-WITH src AS (SELECT clip, track_id, sig[1:24] AS v FROM fx_sigs), {two_means_sql('src', 24, 'track_id')},
-a AS (SELECT clip, track_id, sqrt({_sq('v', 'c0', 24)}) AS d0, sqrt({_sq('v', 'c1', 24)}) AS d1 FROM src JOIN km USING (clip))
+WITH RECURSIVE src AS (SELECT clip, track_id, sig AS v FROM fx_sigs), {two_means_sql('src', 64, 'track_id')},
+a AS (SELECT clip, track_id, sqrt({_sq('v', 'c0', 64)}) AS d0, sqrt({_sq('v', 'c1', 64)}) AS d1 FROM src JOIN km USING (clip))
 SELECT clip, track_id, {R4('(greatest(d0,d1) - least(d0,d1))/(least(d0,d1) + 1e-6)')} AS confidence,
   CASE WHEN (d1 < d0) = first_value(d1 < d0) OVER (PARTITION BY clip ORDER BY track_id) THEN 'team_A' ELSE 'team_B' END AS team FROM a""")
 def kmeans_split(t):
-    d = T.kmeans_split(t.sigs.withColumn("sig", F.slice("sig", 1, 24)), 24, rounds=4)
+    d = T.kmeans_split(t.sigs)
     return d.select("clip", "track_id", r4("confidence").alias("confidence"), "team")
 
 
 @query("pixel_split", f"""
-WITH pt AS (SELECT clip, track_id, h, s, v AS val, count(*) AS n FROM fx_hsv WHERE {KEEP} GROUP BY ALL),
+WITH RECURSIVE pt AS (SELECT clip, track_id, h, s, v AS val, count(*) AS n FROM fx_hsv WHERE {KEEP} GROUP BY ALL),
 f AS (SELECT clip, track_id, n, CAST(h AS BIGINT)*65536 + s*256 + val AS code, [cos(h/180e0*2*pi())*720, sin(h/180e0*2*pi())*720, s, val] AS v FROM pt
   WHERE (clip, track_id) IN (SELECT (clip, track_id) FROM pt GROUP BY clip, track_id HAVING sum(n) >= 50)),
-src AS (SELECT clip, code, any_value(v) AS v, sum(n) AS w FROM f GROUP BY clip, code), {two_means_sql('src', 4, 'code', 'w', 3)},
+src AS (SELECT clip, code, any_value(v) AS v, sum(n) AS w FROM f GROUP BY clip, code), {two_means_sql('src', 4, 'code', 's.w')},
 a AS (SELECT clip, track_id, sum(n*sqrt({_sq('v', 'c0', 4)}))/sum(n) AS d0, sum(n*sqrt({_sq('v', 'c1', 4)}))/sum(n) AS d1 FROM f JOIN km USING (clip) GROUP BY clip, track_id)
 SELECT clip, track_id, {R4('(greatest(d0,d1) - least(d0,d1))/(least(d0,d1) + 1e-6)')} AS confidence,
   CASE WHEN (d0 < d1) = first_value(d0 < d1) OVER (PARTITION BY clip ORDER BY track_id) THEN 'team_A' ELSE 'team_B' END AS team FROM a""")
 def pixel_split(t):
-    return T.pixel_split(t.hsv, rounds=3).select("clip", "track_id", r4("confidence").alias("confidence"), "team")
+    return T.pixel_split(t.hsv).select("clip", "track_id", r4("confidence").alias("confidence"), "team")
 
 
 POSITION = """SELECT clip, track_id, first_x, CASE WHEN n < 4 OR first_x IS NULL THEN 'unknown' WHEN first_x < m THEN 'team_A' ELSE 'team_B' END AS team

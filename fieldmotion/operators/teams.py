@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
+import zlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,9 @@ from fieldmotion.functions.boxes import chromatic_rules, hue_features
 from fieldmotion.operators.histograms import mean_hue_signature, track_signature
 from fieldmotion.operators.reliable import stage
 
+#: Starts of two-means, and rows of a clip that one task takes.
+STARTS, MOST = 10, 50_000
+
 A, B, UNKNOWN = "team_A", "team_B", "unknown"
 
 
@@ -30,23 +33,37 @@ def canonical_labels(labels: DataFrame, cluster: str = "cluster", keys: list[str
     return labels.join(first, keys).withColumn("team", F.when(F.col(cluster) == F.col("_a"), A).otherwise(B)).drop("_a")
 
 
-def _first_axis(entries: pd.DataFrame) -> pd.DataFrame:
-    """Leading eigenvector of one clip's cross products, its largest loading positive."""
-    d = int(entries["i"].max()) + 1
-    m = np.zeros((d, d))
-    m[entries["i"].to_numpy(), entries["j"].to_numpy()] = entries["s"].to_numpy()
-    v = np.linalg.eigh(m)[1][:, -1]
-    v = v * np.sign(v[np.argmax(np.abs(v))])
-    return pd.DataFrame({"clip": [entries["clip"].iloc[0]], "axis": [v.tolist()]})
+def in_parts(rows: DataFrame, order: str, most: int = MOST) -> DataFrame:
+    """Add ``_part``, so that no (clip, _part) has many more than ``most`` rows."""
+    large = rows.groupBy("clip").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    part = F.coalesce(F.pmod(F.xxhash64(order), F.ceil(F.col("_n") / most)), F.lit(0)).cast("int")
+    return rows.join(large, "clip", "left").withColumn("_part", part).drop("_n")
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
 def principal_axis(residuals: DataFrame, value: str = "residual") -> DataFrame:
-    """First principal direction per clip. Cross products are summed in Spark; a clip
-    reaches Python only as width x width sums."""
-    e = residuals.select("clip", F.posexplode(value).alias("i", "a"), F.col(value).alias("_v"))
-    pairs = e.select("clip", "i", "a", F.posexplode("_v").alias("j", "b"))
-    sums = pairs.groupBy("clip", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
-    return sums.groupBy("clip").applyInPandas(_first_axis, "clip string, axis array<double>")
+    """First principal direction per clip, its largest loading positive. A part of a clip
+    adds up the upper triangle of its cross products; the triangles of a clip are merged."""
+
+    def gram(key: tuple[pa.Scalar, ...], d: pa.Table) -> pa.Table:
+        x = _matrix(d.column(value))
+        return pa.table({"clip": [key[0].as_py()], "sums": [(x.T @ x)[np.triu_indices(x.shape[1])].tolist()]})
+
+    def axis(key: tuple[pa.Scalar, ...], d: pa.Table) -> pa.Table:
+        sums = _matrix(d.column("sums")).sum(axis=0)
+        size = int((np.sqrt(8 * len(sums) + 1) - 1) / 2)
+        m = np.zeros((size, size))
+        m[np.triu_indices(size)] = sums
+        v = np.linalg.eigh(m + np.triu(m, 1).T)[1][:, -1]
+        return pa.table({"clip": [key[0].as_py()], "axis": [(v * np.sign(v[np.argmax(np.abs(v))])).tolist()]})
+
+    parts = in_parts(residuals.select("clip", "track_id", value), "track_id")
+    sums = parts.groupBy("clip", "_part").applyInArrow(gram, "clip string, sums array<double>")
+    return sums.groupBy("clip").applyInArrow(axis, "clip string, axis array<double>")
 
 
 def pca_split(sigs: DataFrame, width: int) -> DataFrame:
@@ -71,42 +88,110 @@ def _square_distance(a: Column, b: Column) -> Column:
     return F.aggregate(d, F.lit(0.0), lambda t, v: t + v)
 
 
-def two_means(points: DataFrame, keys: list[str], value: str, width: int, order: str,
-              weight: Column | None = None, rounds: int | None = None) -> DataFrame:
-    """Two cluster centres per key by Lloyd's rounds: (keys, c0, c1). Without ``rounds``
-    they go on until no point changes its cluster.
+def _fresh(df: DataFrame) -> DataFrame:
+    """The same columns under identities of their own, for grouping together with a relative."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def spread_starts(points: DataFrame, order: str) -> DataFrame:
+    """(clip, start, c0, c1) for STARTS starts: a point drawn by a hash, and the point
+    farthest from it. ``points``: (clip, ``order``, _v)."""
+    drawn = points.groupBy("clip").agg(F.array(*[F.min_by("_v", F.md5(F.concat_ws("|", F.lit(j), order))) for j in range(STARTS)]).alias("_c"))
+    far = [F.max_by("_v", F.struct(_square_distance(F.col("_v"), F.col("_c")[j]), -F.col(order))) for j in range(STARTS)]
+    pairs = points.join(drawn, "clip").groupBy("clip").agg(F.first("_c").alias("_c"), F.array(*far).alias("_d"))
+    return pairs.select("clip", F.posexplode(F.arrays_zip("_c", "_d")).alias("start", "z")).select("clip", "start", F.col("z._c").alias("c0"), F.col("z._d").alias("c1"))
+
+
+def lloyd_sums(x: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round for all starts c (starts, 2, width): (weighted sums with the weight last,
+    labels, inertia of each start before the centres move)."""
+    d = np.stack([((x[None] - c[:, k, None]) ** 2).sum(axis=2) for k in (0, 1)], axis=1)
+    label = d[:, 1] < d[:, 0]
+    full = np.hstack([x, np.ones((len(x), 1))]) * w[:, None]
+    ones = label.astype(float) @ full
+    return np.stack([full.sum(axis=0)[None] - ones, ones], axis=1), label, (d.min(axis=1) * w).sum(axis=1)
+
+
+def moved(sums: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Centres from weighted sums; one without points stays."""
+    n = sums[:, :, -1:]
+    return np.where(n > 0, sums[:, :, :-1] / np.where(n > 0, n, 1), c)
+
+
+def two_means(points: DataFrame, value: str, order: str, weight: Column | None = None) -> DataFrame:
+    """The best two cluster centres of every clip, (clip, c0, c1): Lloyd's rounds from
+    STARTS spread starts until no point changes its cluster, least inertia (ties: the
+    first start).
 
-    Starts from the first point by ``order`` and the point farthest from it. Every round
-    is one aggregation of (key, cluster) sums; centres are written out between rounds.
+    A clip of up to MOST points goes through all its rounds in one task. Larger ones are
+    in parts, whose sums are merged round by round; only clips that still change go on.
     """
     w = F.lit(1.0) if weight is None else weight
-    pts = stage(points.select(*keys, order, F.col(value).alias("_v"), w.cast("double").alias("_w")))
-    first = pts.groupBy(*keys).agg(F.min_by("_v", order).alias("c0"))
-    far = pts.join(first, keys).groupBy(*keys).agg(
-        F.first("c0").alias("c0"), F.max_by("_v", F.struct(_square_distance(F.col("_v"), F.col("c0")), -F.col(order))).alias("c1"))
-    centres = stage(far)
-    nearer = lambda c0, c1: F.when(_square_distance(F.col("_v"), F.col(c1)) < _square_distance(F.col("_v"), F.col(c0)), 1).otherwise(0)
-    for turn in itertools.count(1):
-        if rounds is not None and turn > rounds:
-            return centres
-        near = pts.join(centres, keys).withColumn("_k", nearer("c0", "c1"))
-        cells = near.select(*keys, "_k", "_w", F.posexplode("_v").alias("_i", "_x"))
-        means = cells.groupBy(*keys, "_k", "_i").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_m"))
-        maps = means.groupBy(*keys).agg(*[
-            F.map_from_entries(F.collect_list(F.when(F.col("_k") == k, F.struct("_i", "_m")))).alias(f"_n{k}") for k in (0, 1)])
-        whole = lambda m: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col(m)[i])
-        keep = lambda m, old: F.when(F.size(m) > 0, whole(m)).otherwise(F.col(old))
-        was = centres.withColumnsRenamed({"c0": "_c0", "c1": "_c1"})
-        centres = stage(maps.join(centres, keys).select(*keys, keep("_n0", "c0").alias("c0"), keep("_n1", "c1").alias("c1")))
-        if rounds is None and pts.join(was, keys).join(centres, keys).where(nearer("_c0", "_c1") != nearer("c0", "c1")).isEmpty():
-            return centres
-
-
-def kmeans_split(sigs: DataFrame, width: int, value: str = "sig", rounds: int | None = None) -> DataFrame:
+    pts = stage(in_parts(points.select("clip", order, F.col(value).alias("_v"), w.cast("double").alias("_w")), order))
+    starts = _fresh(stage(spread_starts(pts, order)))
+    large = pts.where("_part > 0").select("clip").distinct()
+
+    def centres(t: pa.Table) -> tuple[np.ndarray, list]:
+        t = t.sort_by("start")
+        return np.stack([_matrix(t.column("c0")), _matrix(t.column("c1"))], axis=1), t.column("start").to_pylist()
+
+    def whole(key: tuple[pa.Scalar, ...], d: pa.Table, s: pa.Table) -> pa.Table:
+        x, weights, (c, _) = _matrix(d.column("_v")), d.column("_w").to_numpy(), centres(s)
+        was = None
+        while True:
+            sums, label, inertia = lloyd_sums(x, weights, c)
+            if was is not None and (label == was).all():
+                break
+            c, was = moved(sums, c), label
+        best = int(np.argmin(np.round(inertia, 6)))
+        return pa.table({"clip": [key[0].as_py()], "c0": [c[best, 0].tolist()], "c1": [c[best, 1].tolist()]})
+
+    small = pts.join(large, "clip", "left_anti").groupBy("clip").cogroup(starts.join(large, "clip", "left_anti").groupBy("clip"))
+    out = small.applyInArrow(whole, "clip string, c0 array<double>, c1 array<double>")
+    return out if large.isEmpty() else out.unionByName(_rounds(pts.join(large, "clip", "left_semi"), starts.join(large, "clip", "left_semi"), centres))
+
+
+def _rounds(pts: DataFrame, live: DataFrame, centres) -> DataFrame:
+    """Lloyd's rounds over clips in parts: (clip, c0, c1)."""
+    parts = pts.select("clip", "_part").distinct()
+    state = "clip string, start int, c0 array<double>, c1 array<double>"
+
+    def partial(key: tuple[pa.Scalar, ...], d: pa.Table, s: pa.Table) -> pa.Table:
+        c, names = centres(s)
+        sums, label, inertia = lloyd_sums(_matrix(d.column("_v")), d.column("_w").to_numpy(), c)
+        marks = [zlib.crc32(np.packbits(x).tobytes()) for x in label[:, np.argsort(d.column("_o").to_numpy(), kind="stable")]]
+        return pa.table({"clip": [key[0].as_py()] * len(names), "start": pa.array(names, pa.int32()), "part": pa.array([key[1].as_py()] * len(names), pa.int32()),
+                         "sums": sums.reshape(len(names), -1).tolist(), "inertia": inertia, "mark": pa.array(marks, pa.int64())})
+
+    def merge(key: tuple[pa.Scalar, ...], d: pa.Table, s: pa.Table) -> pa.Table:
+        d, (c, _) = d.sort_by("part"), centres(s)
+        new = moved(_matrix(d.column("sums")).sum(axis=0).reshape(1, 2, -1), c)
+        return pa.table({"clip": [key[0].as_py()], "start": pa.array([key[1].as_py()], pa.int32()), "c0": new[:, 0].tolist(), "c1": new[:, 1].tolist(),
+                         "inertia": [float(sum(d.column("inertia").to_pylist()))], "marks": [",".join(map(str, d.column("mark").to_pylist()))]})
+
+    rows = pts.select("clip", "_part", F.xxhash64("_v").alias("_o"), "_v", "_w")
+    done, marks = None, None
+    while True:
+        sums = rows.groupBy("clip", "_part").cogroup(_fresh(live.select("clip", "start", "c0", "c1").join(parts, "clip")).groupBy("clip", "_part")).applyInArrow(
+            partial, "clip string, start int, part int, sums array<double>, inertia double, mark long")
+        new = stage(_fresh(sums).groupBy("clip", "start").cogroup(_fresh(live).groupBy("clip", "start")).applyInArrow(merge, state + ", inertia double, marks string"))
+        if marks is not None:
+            same = new.join(marks.withColumnRenamed("marks", "_marks"), ["clip", "start"]).where("marks = _marks")
+            rest = new.join(_fresh(same.select("clip", "start")), ["clip", "start"], "left_anti")
+            done = same.drop("_marks") if done is None else done.unionByName(same.drop("_marks"))
+            new = stage(rest)
+            if new.isEmpty():
+                break
+        marks, live = _fresh(new.select("clip", "start", "marks")), _fresh(new.select("clip", "start", "c0", "c1"))
+        rows = rows.join(live.select("clip").distinct(), "clip", "left_semi")
+    best = done.groupBy("clip").agg(F.min_by(F.struct("c0", "c1"), F.struct(F.round("inertia", 6), "start")).alias("_b"))
+    return best.select("clip", "_b.c0", "_b.c1")
+
+
+def kmeans_split(sigs: DataFrame, value: str = "sig") -> DataFrame:
     """Cluster the tracks of each clip in two; confidence compares both centre distances."""
     known = sigs.where(F.col(value).isNotNull())
-    centres = two_means(known, ["clip"], value, width, "track_id", rounds=rounds)
-    return canonical_labels(assign_two(known.join(centres, "clip"), value))
+    return canonical_labels(assign_two(known.join(two_means(known, value, "track_id"), "clip"), value))
 
 
 def assign_two(df: DataFrame, value: str) -> DataFrame:
@@ -118,7 +203,7 @@ def assign_two(df: DataFrame, value: str) -> DataFrame:
                              "confidence": (other - own) / (own + 1e-6)}).drop("_d0", "_d1", "c0", "c1")
 
 
-def pixel_split(pixels: DataFrame, min_pixels: int = 50, rounds: int | None = None) -> DataFrame:
+def pixel_split(pixels: DataFrame, min_pixels: int = 50) -> DataFrame:
     """Cluster the pooled shirt pixels of a clip in two colours and give each track the
     colour its pixels are nearer to on average. Equal pixels are counted once, weighted."""
     kept = pixels.where(chromatic_rules(F.col("h"), F.col("s"), F.col("v"))["keep"])
@@ -128,7 +213,7 @@ def pixel_split(pixels: DataFrame, min_pixels: int = 50, rounds: int | None = No
         "f": F.array(*hue_features(F.col("h"), F.col("s"), F.col("v"))),
         "code": F.col("h").cast("long") * 65536 + F.col("s") * 256 + F.col("v")}))
     pooled = feats.groupBy("clip", "code").agg(F.first("f").alias("f"), F.sum("n").alias("n"))
-    centres = two_means(pooled, ["clip"], "f", 4, "code", F.col("n"), rounds)
+    centres = two_means(pooled, "f", "code", F.col("n"))
     dist = feats.join(centres, "clip").withColumns({k: F.sqrt(_square_distance(F.col("f"), F.col(k))) for k in ("c0", "c1")})
     mean = lambda k: F.sum(F.col(k) * F.col("n")) / F.sum("n")
     tracks = dist.groupBy("clip", "track_id").agg(mean("c0").alias("_d0"), mean("c1").alias("_d1"))
@@ -173,11 +258,11 @@ def _by_pca(points, pixels):
 
 def _by_residual(points, pixels):
     sigs = mean_hue_signature(pixels, ["clip", "track_id"], "sample")
-    return kmeans_split(baseline_residual(sigs, 36), 36, "residual")
+    return kmeans_split(baseline_residual(sigs, 36), "residual")
 
 
 def _by_kmeans(points, pixels):
-    return kmeans_split(track_signature(pixels, ["clip", "track_id"]), 24)
+    return kmeans_split(track_signature(pixels, ["clip", "track_id"]))
 
 
 def _by_pixels(points, pixels):

@@ -1,5 +1,6 @@
 """Ranking, assignment, sampling, lines, teams and sources."""
 
+import hashlib
 import itertools
 import random
 
@@ -17,7 +18,8 @@ from fieldmotion.operators import ranking as K
 from fieldmotion.operators import rejects as X
 from fieldmotion.operators import sampling as P
 from fieldmotion.operators.histograms import histogram_1d
-from fieldmotion.operators.teams import kmeans_split, split_at_median
+from fieldmotion.operators import teams
+from fieldmotion.operators.teams import split_at_median
 from fieldmotion.sources import files as IO
 
 
@@ -147,18 +149,52 @@ def test_consensus_with_half_the_points_wrong():
         assert near[15:].all() and np.abs(mapped(got, src[15:]) - dst[15:]).max() < 0.5
 
 
-def test_two_means_go_on_until_no_label_moves(spark):
-    """A long tail: the bound between the clusters moves a few points a round."""
-    xs = [(1000 / (1000 - i)) ** 0.3 for i in range(1000)]
-    v = np.array(xs)
-    c0, c1, n, label = v[0], v[np.argmax(np.abs(v - v[0]))], 0, None
-    while label is None or (label != (np.abs(v - c1) < np.abs(v - c0))).any():
-        label = np.abs(v - c1) < np.abs(v - c0)
-        c0, c1, n = v[~label].mean(), v[label].mean(), n + 1
-    assert n > 10
-    df = spark.createDataFrame([("c", i, [x]) for i, x in enumerate(xs)], "clip string, track_id long, sig array<double>")
-    got = {r["track_id"]: r["cluster"] for r in kmeans_split(df, 1).collect()}
-    assert [got[i] for i in range(len(xs))] == label.astype(int).tolist()
+def brute_two_means(v, order):
+    """Ten starts drawn by a hash, Lloyd's rounds to the end, least inertia."""
+    best = None
+    for j in range(10):
+        first = min(range(len(v)), key=lambda i: hashlib.md5(f"{j}|{order[i]}".encode()).hexdigest())
+        far = max(range(len(v)), key=lambda i: (((v[i] - v[first]) ** 2).sum(), -order[i]))
+        c, label, n = [v[first], v[far]], None, 0
+        while True:
+            d = [((v - x) ** 2).sum(axis=1) for x in c]
+            new = d[1] < d[0]
+            if label is not None and (new == label).all():
+                break
+            label, n = new, n + 1
+            c = [v[label == k].mean(axis=0) if (label == k).any() else c[k] for k in (False, True)]
+        inertia = np.minimum(*d).sum()
+        if best is None or round(inertia, 6) < best[0]:
+            best = round(inertia, 6), label, n
+    return best
+
+
+@pytest.mark.parametrize("most", [50_000, 90])
+def test_two_means_go_on_until_no_label_moves(spark, monkeypatch, most):
+    """A long tail: the bound between the clusters moves a few points a round. One task a
+    clip, and parts whose sums are merged."""
+    monkeypatch.setattr(teams, "MOST", most)
+    monkeypatch.setattr(teams.in_parts, "__defaults__", (most,))
+    r = np.random.default_rng(1)
+    rows, want = [], {}
+    for clip, width in (("a", 1), ("b", 3)):
+        v = np.array([(400 / (400 - i)) ** 0.4 * r.normal(1, 0.02, width) for i in range(400)])
+        rows += [(clip, i, x.tolist()) for i, x in enumerate(v)]
+        want[clip] = brute_two_means(v, list(range(400)))
+    assert max(w[2] for w in want.values()) > 4
+    df = spark.createDataFrame(rows, "clip string, track_id long, sig array<double>")
+    got = {(x["clip"], x["track_id"]): x["cluster"] for x in teams.kmeans_split(df).collect()}
+    for clip, (_, label, _) in want.items():
+        assert [got[clip, i] for i in range(400)] == label.astype(int).tolist()
+
+
+@pytest.mark.parametrize("most", [50_000, 7])
+def test_principal_axis_merges_parts(spark, monkeypatch, most):
+    monkeypatch.setattr(teams.in_parts, "__defaults__", (most,))
+    x = np.random.default_rng(2).normal(size=(60, 5)) * [1, 3, 1, 2, 1]
+    df = spark.createDataFrame([("c", i, v.tolist()) for i, v in enumerate(x)], "clip string, track_id long, residual array<double>")
+    v = np.linalg.eigh(x.T @ x)[1][:, -1]
+    assert np.allclose(teams.principal_axis(df).first()["axis"], v * np.sign(v[np.argmax(np.abs(v))]))
 
 
 def test_pca_split_reads_whole_vectors(spark):
