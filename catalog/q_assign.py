@@ -28,10 +28,8 @@ def assign_optimal(t):
 
 @query("sweep_offsets")
 def sweep_offsets(t):
-    from fieldmotion.operators.reliable import stage
-
-    costs = stage(S.offset_costs(ours(t), t.truth, S.event_frame(t.truth), OFFSET, 30))
-    log, best = A.best_offset(costs, stage(A.assign_optimal(costs, ["clip", "offset"], "track_id", "player_id")))
+    costs = S.offset_costs(ours(t), t.truth, S.event_frame(t.truth), OFFSET, 30)
+    log, best = A.best_offset(stage(A.sweep(costs)))
     picked = best.select("clip", c("offset").alias("best"))
     return log.join(picked, "clip").select("clip", "offset", "best", r4("total").alias("total"), "n_matched", r4("mean").alias("mean"))
 
@@ -206,12 +204,21 @@ def fit_homography(t):
 
 
 @query("fit_similarity", f"""
-SELECT clip, frame_idx, n, {R4('scale')} AS scale, {R4('rot')} AS rot_deg, {R4('tx')} AS tx, {R4('ty')} AS ty, scale <= 1.8e0 AND scale >= 1/1.8e0 AND abs(rot) <= 3 AND sqrt(tx*tx + ty*ty) <= 400 AS accepted FROM (
+WITH s AS MATERIALIZED (SELECT clip, frame_idx, u*0.98e0 + 7 + slot + CASE WHEN slot % 9 = 4 THEN 150 ELSE 0 END AS pu, v*1.01e0 - 4 + (slot % 3) AS pv, u, v FROM fx_corrs),
+p AS MATERIALIZED (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY clip, frame_idx) AS n FROM s WINDOW w AS (PARTITION BY clip, frame_idx ORDER BY pu, pv, u, v)),
+t AS (SELECT *, (dx*ex + dy*ey)/sz AS a, (dx*ey - dy*ex)/sz AS b FROM (SELECT x.clip, x.frame_idx, x.n, x.i, y.i AS j, x.pu, x.pv, x.u, x.v, y.pu - x.pu AS dx, y.pv - x.pv AS dy, y.u - x.u AS ex, y.v - x.v AS ey,
+    pow(y.pu - x.pu, 2) + pow(y.pv - x.pv, 2) AS sz FROM p x JOIN p y ON x.clip = y.clip AND x.frame_idx = y.frame_idx AND x.i < y.i) WHERE sz > 0),
+r AS (SELECT t.clip, t.frame_idx, t.i, t.j, any_value(t.n) AS n, any_value(a) AS a, any_value(b) AS b, any_value(t.u - a*t.pu + b*t.pv) AS tx, any_value(t.v - b*t.pu - a*t.pv) AS ty,
+    quantile_cont(pow(a*p.pu - b*p.pv + t.u - a*t.pu + b*t.pv - p.u, 2) + pow(b*p.pu + a*p.pv + t.v - b*t.pu - a*t.pv - p.v, 2), 0.5) AS med
+  FROM t JOIN p ON p.clip = t.clip AND p.frame_idx = t.frame_idx GROUP BY t.clip, t.frame_idx, t.i, t.j),
+m AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY clip, frame_idx ORDER BY round(med, 9), i, j) = 1),
+k AS (SELECT p.* FROM p JOIN m ON m.clip = p.clip AND m.frame_idx = p.frame_idx WHERE sqrt(pow(a*pu - b*pv + tx - u, 2) + pow(b*pu + a*pv + ty - v, 2)) <= greatest(2.5e0*1.4826e0*(1 + 5e0/greatest(p.n - 2, 1))*sqrt(med), 0.001e0))
+SELECT clip, frame_idx, n, n_inliers, {R4('scale')} AS scale, {R4('rot')} AS rot_deg, {R4('tx')} AS tx, {R4('ty')} AS ty, scale <= 1.8e0 AND scale >= 1/1.8e0 AND abs(rot) <= 3 AND sqrt(tx*tx + ty*ty) <= 400 AS accepted FROM (
   SELECT *, sqrt(a*a + b*b) AS scale, degrees(atan2(b, a)) AS rot, mu - a*mpu + b*mpv AS tx, mv - b*mpu - a*mpv AS ty FROM (
-    SELECT *, cc/dd AS a, ss/dd AS b FROM (SELECT clip, frame_idx, CAST(count(*) AS BIGINT) AS n, avg(pu) AS mpu, avg(pv) AS mpv, avg(u) AS mu, avg(v) AS mv,
-      covar_pop(pu, u) + covar_pop(pv, v) AS cc, covar_pop(pu, v) - covar_pop(pv, u) AS ss, var_pop(pu) + var_pop(pv) AS dd
-      FROM (SELECT clip, frame_idx, u, v, u*0.98e0 + 7 + slot AS pu, v*1.01e0 - 4 + (slot % 3) AS pv FROM fx_corrs) GROUP BY clip, frame_idx) WHERE n >= 2 AND dd > 0))""")
+    SELECT *, cc/dd AS a, ss/dd AS b FROM (SELECT clip, frame_idx, CAST(any_value(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_inliers, avg(pu) AS mpu, avg(pv) AS mpv, avg(u) AS mu, avg(v) AS mv,
+      covar_pop(pu, u) + covar_pop(pv, v) AS cc, covar_pop(pu, v) - covar_pop(pv, u) AS ss, var_pop(pu) + var_pop(pv) AS dd FROM k GROUP BY clip, frame_idx) WHERE dd > 0))""")
 def fit_similarity(t):
-    d = t.corrs.withColumns({"pu": c("u") * 0.98 + 7 + c("slot"), "pv": c("v") * 1.01 - 4 + c("slot") % 3})
+    wrong = F.when(c("slot") % 9 == 4, 150).otherwise(0)
+    d = t.corrs.withColumns({"pu": c("u") * 0.98 + 7 + c("slot") + wrong, "pv": c("v") * 1.01 - 4 + c("slot") % 3})
     d = P.fit_similarity(d, FRAME)
-    return d.select(*FRAME, "n", *[r4(k).alias(k) for k in ("scale", "rot_deg", "tx", "ty")], "accepted")
+    return d.select(*FRAME, "n", "n_inliers", *[r4(k).alias(k) for k in ("scale", "rot_deg", "tx", "ty")], "accepted")

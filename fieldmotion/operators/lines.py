@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmotion.functions.constants import IMAGE_H, IMAGE_W
-from fieldmotion.operators.reliable import stage
 
 FRAME = ["clip", "frame_idx"]
 
@@ -150,28 +150,42 @@ def spacing_outliers(fits: DataFrame, limit: float = 25.0, min_fits: int = 3, ke
 def single_link(points: DataFrame, threshold: Column | float, keys: list[str] = FRAME, node: str = "comp", x: str = "cx", y: str = "cy") -> DataFrame:
     """Clusters of points linked by distances up to ``threshold`` (constant in a frame).
 
-    Links come from a grid of that cell size; labels then take the smallest node reached,
-    jumping through the label's own label, until nothing changes.
+    Links come from a grid of that cell size; a task then joins one frame's links, whose
+    points are a frame's few components, and names each cluster by its smallest node.
     """
     r = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    pts = stage(points.select(*keys, F.col(node).alias("_n"), F.col(x).alias("_x"), F.col(y).alias("_y"), r.cast("double").alias("_r")))
+    pts = points.select(*keys, F.col(node).alias("_n"), F.col(x).alias("_x"), F.col(y).alias("_y"), r.cast("double").alias("_r"))
     cx, cy = F.floor(F.col("_x") / F.col("_r")), F.floor(F.col("_y") / F.col("_r"))
     left = pts.withColumns({"_cx": cx, "_cy": cy})
     around = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     right = pts.select(*keys, F.col("_n").alias("_m"), F.col("_x").alias("_x2"), F.col("_y").alias("_y2"), F.explode(around).alias("_a"))
     right = right.select(*keys, "_m", "_x2", "_y2", F.col("_a.cx").alias("_cx"), F.col("_a.cy").alias("_cy"))
     links = left.join(right, [*keys, "_cx", "_cy"]).where(F.hypot(F.col("_x") - F.col("_x2"), F.col("_y") - F.col("_y2")) <= F.col("_r"))
-    links = stage(links.select(*keys, "_n", "_m"))
-    labels = stage(pts.select(*keys, "_n", F.col("_n").alias("_l")))
-    while True:
-        theirs = labels.select(*keys, F.col("_n").alias("_m"), F.col("_l").alias("_near"))
-        low = links.join(theirs, [*keys, "_m"]).groupBy(*keys, "_n").agg(F.min("_near").alias("_low"))
-        jump = labels.select(*keys, F.col("_n").alias("_low"), F.col("_l").alias("_far"))
-        new = labels.join(low, [*keys, "_n"]).join(jump, [*keys, "_low"])
-        new = stage(new.select(*keys, "_n", F.least("_l", "_low", "_far").alias("_l"), (F.least("_low", "_far") < F.col("_l")).alias("_moved")))
-        labels = new.drop("_moved")
-        if new.where("_moved").isEmpty():
-            return labels.select(*keys, F.col("_n").alias(node), F.col("_l").alias("cluster"))
+    links = links.select(*keys, "_n", "_m")
+    fields = {f.name: f.dataType.simpleString() for f in links.schema}
+    schema = ", ".join([*(f"`{k}` {fields[k]}" for k in keys), f"_n {fields['_n']}, _l {fields['_n']}"])
+
+    def fold(key: tuple[pa.Scalar, ...], d: pa.Table) -> pa.Table:
+        """Disjoint sets over one frame's links; every point is linked with itself."""
+        n, m = d.column("_n").to_pylist(), d.column("_m").to_pylist()
+        root = {x: x for x in n}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y in zip(n, m, strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)  # the smallest node stays the root
+        kind = d.schema.field("_n").type
+        names = sorted(root)
+        return pa.table({**{k: pa.array([v.as_py()] * len(names), v.type) for k, v in zip(keys, key, strict=True)},
+                         "_n": pa.array(names, kind), "_l": pa.array([find(x) for x in names], kind)})
+
+    labels = links.groupBy(*keys).applyInArrow(fold, schema)
+    return labels.select(*keys, F.col("_n").alias(node), F.col("_l").alias("cluster"))
 
 
 def yard_spacing(components: DataFrame, keys: list[str] = FRAME, x: str = "cx", order: str = "comp", fallback: float = 100.0) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Plane fits per frame: homography by seeded consensus, similarity in closed form."""
+"""Plane fits per frame: homography by seeded consensus, similarity by least median of squares."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from fieldmotion.operators.reliable import spread
 
 FRAME = ["clip", "frame_idx"]
 REACH = 4.0  # field units within which a correspondence supports a fit
+PAIR_DRAWS = 500  # two-point draws of a similarity
+SPREAD_FACTOR, LEAST_REACH = 2.5 * 1.4826, 1e-3  # inliers by the median residual, pixels at least
 SURE, MOST_DRAWS = 0.995, 2000  # chance of a clean draw to reach, and the draws after which none is expected
 
 
@@ -109,16 +113,89 @@ def fit_homography(corrs: DataFrame) -> DataFrame:
                                       F.sqrt(F.avg(good * good)).alias("rmse"))
 
 
+def _draws(n: int, seed: int) -> np.ndarray:
+    """Pairs of points to draw: all of them where they are few, else seeded ones, of which
+    a clean one is all but sure with half of the points wrong."""
+    if n * (n - 1) // 2 <= PAIR_DRAWS:
+        return np.stack(np.triu_indices(n, 1), axis=1)
+    return np.argsort(np.random.default_rng(seed).random((PAIR_DRAWS, n)), axis=1)[:, :2]
+
+
+def _two_point_moves(p: np.ndarray, q: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(a, b, tx, ty) of the similarities through many two-point draws; NaN where points coincide."""
+    d, e = p[draws[:, 1]] - p[draws[:, 0]], q[draws[:, 1]] - q[draws[:, 0]]
+    size = (d * d).sum(axis=1)
+    size = np.where(size > 0, size, np.nan)
+    a, b = (d * e).sum(axis=1) / size, (d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]) / size
+    p0, q0 = p[draws[:, 0]], q[draws[:, 0]]
+    return a, b, q0[:, 0] - a * p0[:, 0] + b * p0[:, 1], q0[:, 1] - b * p0[:, 0] - a * p0[:, 1]
+
+
+def robust_similarity(p: np.ndarray, q: np.ndarray, seed: int = 0) -> tuple[float, float, float, float, np.ndarray] | None:
+    """(a, b, tx, ty, inliers) of u = a x - b y + tx, v = b x + a y + ty by least median of
+    squares over two-point draws, refitted by least squares on its inliers; None without
+    two different points."""
+    n = len(p)
+    if n < 2:
+        return None
+    a, b, tx, ty = (x[:, None] for x in _two_point_moves(p, q, _draws(n, seed)))
+    r = (a * p[:, 0] - b * p[:, 1] + tx - q[:, 0]) ** 2 + (b * p[:, 0] + a * p[:, 1] + ty - q[:, 1]) ** 2
+    middle = np.median(r, axis=1)
+    if np.isnan(middle).all():
+        return None
+    best = int(np.nanargmin(np.round(middle, 9)))
+    reach = max(SPREAD_FACTOR * (1 + 5 / max(n - 2, 1)) * math.sqrt(middle[best]), LEAST_REACH)
+    near = r[best] <= reach * reach
+    x, y = p[near] - p[near].mean(axis=0), q[near] - q[near].mean(axis=0)
+    size = (x * x).sum()
+    if size <= 0:
+        return None
+    fa, fb = float((x * y).sum() / size), float((x[:, 0] * y[:, 1] - x[:, 1] * y[:, 0]).sum() / size)
+    mp, mq = p[near].mean(axis=0), q[near].mean(axis=0)
+    return fa, fb, float(mq[0] - fa * mp[0] + fb * mp[1]), float(mq[1] - fb * mp[0] - fa * mp[1]), near
+
+
 def fit_similarity(pairs: DataFrame, keys: list[str], max_scale: float = 1.8, max_rot: float = 3.0, max_shift: float = 400.0) -> DataFrame:
-    """Scale, rotation and shift from (pu, pv) to (u, v) by least squares over the points
-    of each key, with the accept gates. All sums, no per-group code."""
+    """Scale, rotation and shift from (pu, pv) to (u, v) of each key's points, with the
+    accept gates; up to half of the points may be wrong. Points are taken in order of their
+    pixels, so the fit does not depend on how rows arrive. Null pixels are left out; keys
+    without two different points give no row."""
+    slim = pairs.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("pu", "pv", "u", "v")]).dropna(subset=["pu", "pv", "u", "v"])
+    sorted_rows = spread(slim, *keys).sortWithinPartitions(*keys, "pu", "pv", "u", "v")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[: len(keys)]]
+
+    def fits(t: pa.Table) -> pa.RecordBatch:
+        names = [t.column(k).to_pylist() for k in keys]
+        at = [i for i in range(t.num_rows) if i == 0 or any(k[i] != k[i - 1] for k in names)]
+        pts = np.stack([t.column(c).to_numpy() for c in ("pu", "pv", "u", "v")], axis=1)
+        rows, out = [], []
+        for s, e in zip(at, [*at[1:], t.num_rows], strict=True):
+            fit = robust_similarity(pts[s:e, :2], pts[s:e, 2:], e - s)
+            if fit is not None:
+                rows.append(s)
+                out.append((e - s, int(fit[4].sum()), *fit[:4]))
+        cols = list(zip(*out, strict=True)) if out else [()] * 6
+        return pa.RecordBatch.from_arrays(
+            [*(t.column(k).combine_chunks().take(pa.array(rows, pa.int64())) for k in keys), *(pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 4, strict=True))],
+            names=[*keys, "n", "n_inliers", "a", "b", "tx", "ty"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            last, cut = [t.column(k)[-1] for k in keys], t.num_rows - 1
+            while cut and all(t.column(k)[cut - 1] == x for k, x in zip(keys, last, strict=True)):
+                cut -= 1
+            if cut:
+                yield fits(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None:
+            yield fits(rest)
+
     c = F.col
-    m = pairs.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("pu").alias("mpu"), F.avg("pv").alias("mpv"), F.avg("u").alias("mu"), F.avg("v").alias("mv"),
-        (F.covar_pop("pu", "u") + F.covar_pop("pv", "v")).alias("_c"), (F.covar_pop("pu", "v") - F.covar_pop("pv", "u")).alias("_s"),
-        (F.var_pop("pu") + F.var_pop("pv")).alias("_d")).where((c("n") >= 2) & (c("_d") > 0))
-    m = m.withColumns({"a": c("_c") / c("_d"), "b": c("_s") / c("_d")})
-    m = m.withColumns({"tx": c("mu") - c("a") * c("mpu") + c("b") * c("mpv"), "ty": c("mv") - c("b") * c("mpu") - c("a") * c("mpv")})
+    m = sorted_rows.mapInArrow(run, ", ".join([*fields, "n long, n_inliers long, a double, b double, tx double, ty double"]))
     m = m.withColumns({"scale": F.hypot("a", "b"), "rot_deg": F.degrees(F.atan2("b", "a"))})
     ok = (c("scale") <= max_scale) & (c("scale") >= 1 / max_scale) & (F.abs("rot_deg") <= max_rot) & (F.hypot("tx", "ty") <= max_shift)
-    return m.withColumn("accepted", ok).drop("_c", "_s", "_d", "mpu", "mpv", "mu", "mv")
+    return m.withColumn("accepted", ok)

@@ -14,7 +14,7 @@ from fieldmotion.operators import runs as R
 from fieldmotion.operators import sampling as P
 from fieldmotion.operators import scoring as S
 from fieldmotion.operators import smoothing as M
-from fieldmotion.operators.assign import assign_optimal, best_offset
+from fieldmotion.operators.assign import best_offset, sweep
 from fieldmotion.operators.reliable import stage
 from fieldmotion.streaming.clips import derive_labels
 
@@ -57,8 +57,8 @@ def score_against_truth(ours: DataFrame, truth: DataFrame, center: int = 120, ra
     players are assigned for each, and the least total cost wins."""
     snaps = S.event_frame(truth)
     costs = stage(S.offset_costs(ours, truth, snaps, center, radius))
-    matched = stage(assign_optimal(costs, ["clip", "offset"], "track_id", "player_id"))
-    _, best = best_offset(costs, matched)
+    matched = stage(sweep(costs))
+    _, best = best_offset(matched)
     best = stage(best)
     pairs = matched.join(best.select("clip", "offset"), ["clip", "offset"])
     scores = S.score_pairs(ours, truth, snaps, pairs.select("clip", "track_id", "player_id", F.col("offset").alias("_offset")), F.col("_offset"))

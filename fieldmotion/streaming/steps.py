@@ -9,7 +9,7 @@ import pandas as pd
 
 from fieldmotion.functions.constants import KIND_Y
 from fieldmotion.operators.assign import MISSING, cheapest_matching
-from fieldmotion.operators.planar import consensus_fit, mapped
+from fieldmotion.operators.planar import consensus_fit, mapped, robust_similarity
 
 # --- identity bank -----------------------------------------------------------
 
@@ -121,13 +121,11 @@ def _delta(prev: np.ndarray, rows: pd.DataFrame) -> np.ndarray | None:
     except np.linalg.LinAlgError:
         return None
     now = rows[["u", "v"]].to_numpy(float)
-    a, b = was - was.mean(axis=0), now - now.mean(axis=0)
-    size = (a * a).sum()
-    if size <= 0:
+    fit = robust_similarity(was, now)
+    if fit is None:
         return None
-    c, s = (a * b).sum() / size, (a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]).sum() / size
+    c, s, *shift, _ = fit
     turn = np.array([[c, -s], [s, c]])
-    shift = now.mean(axis=0) - turn @ was.mean(axis=0)
     scale, rot = math.hypot(c, s), math.degrees(math.atan2(s, c))
     if not (1 / MAX_SCALE <= scale <= MAX_SCALE) or abs(rot) > MAX_ROT_DEG or np.hypot(*shift) > MAX_SHIFT_PX:
         return None

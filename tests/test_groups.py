@@ -19,6 +19,7 @@ from fieldmotion.operators import rejects as X
 from fieldmotion.operators import sampling as P
 from fieldmotion.operators.histograms import histogram_1d
 from fieldmotion.operators import teams
+from fieldmotion.operators.planar import fit_similarity
 from fieldmotion.operators.teams import split_at_median
 from fieldmotion.sources import files as IO
 
@@ -39,6 +40,44 @@ def test_matching_beats_greedy_and_thresholds_after_solving(spark):
     assert A.assign_optimal(d, ["clip"], "t", "p", threshold=2.0).count() == 0
 
 
+@pytest.mark.parametrize("shape", [(5, 6), (6, 4), (5, 5)])
+def test_warm_matchings_are_cheapest(shape):
+    """Every step of a drifting sequence, against all permutations."""
+    r = np.random.default_rng(sum(shape))
+    costs = np.cumsum(np.concatenate([r.random((1, *shape)) * 9, r.normal(size=(20, *shape))]), axis=0)
+    few, many = sorted(range(2), key=lambda k: shape[k])
+    for step, pairs in zip(costs, A.warm_matchings(costs), strict=True):
+        assert len(pairs) == min(shape) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+        table = step if few == 0 else step.T
+        want = min(sum(table[i, p[i]] for i in range(shape[few])) for p in itertools.permutations(range(shape[many]), shape[few]))
+        assert abs(sum(step[x, y] for x, y in pairs) - want) < 1e-9
+
+
+def test_sweep_equals_fresh_solves(spark):
+    r = np.random.default_rng(9)
+    rows = [(c, o, t, p, float(abs(t - p + o / 5) + r.random())) for c in "ab" for o in range(8) for t in range(6) for p in range(7) if (t + p + o) % 11]
+    d = spark.createDataFrame(rows, "clip string, offset int, track_id int, player_id int, cost double")
+    total = lambda m: sorted((x["clip"], x["offset"], round(x["s"], 9)) for x in m.groupBy("clip", "offset").agg(F.sum("cost").alias("s")).collect())
+    assert total(A.sweep(d)) == total(A.assign_optimal(d, ["clip", "offset"], "track_id", "player_id"))
+
+
+def test_similarity_with_one_bad_point_in_three(spark):
+    """Bad points change nothing; the order of rows neither."""
+    r = np.random.default_rng(4)
+    rows = []
+    for f in range(6):
+        p = r.random((12, 2)) * 500
+        q = np.stack([1.1 * p[:, 0] - 0.02 * p[:, 1] + 7, 0.02 * p[:, 0] + 1.1 * p[:, 1] - 3], axis=1)
+        q[: f // 2 * 2] += 300 + 90 * r.random((f // 2 * 2, 2))
+        rows += [("c", f, *map(float, (*a, *b))) for a, b in zip(p, q)]
+    rows += [("c", 9, 1.0, 1.0, 2.0, 2.0), ("c", 10, None, 1.0, 2.0, 2.0)]
+    d = spark.createDataFrame(rows, "clip string, frame_idx int, pu double, pv double, u double, v double")
+    got = {x["frame_idx"]: x for x in fit_similarity(d, ["clip", "frame_idx"]).collect()}
+    assert sorted(got) == list(range(6))
+    for f, x in got.items():
+        assert np.allclose([x["a"], x["b"], x["tx"], x["ty"]], [1.1, 0.02, 7, -3]) and (x["n"], x["n_inliers"]) == (12, 12 - f // 2 * 2) and x["accepted"]
+
+
 def test_exact_percentiles_of_a_skewed_group(spark):
     rnd = random.Random(0)
     vals = [0.5] * 3000 + [rnd.expovariate(0.1) for _ in range(3001)]
