@@ -8,12 +8,14 @@ piece's length. Where nothing fits and all places are taken, the fullest sequenc
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from fieldmotion.llm.common import stored
 
 #: Up to this code point both libraries' character classes are the same.
 SAFE = 0x24F
+#: Longer texts are looked through for runs of blanks, which the reader of ranks recurses on.
+LONG, BLANKS = 4000, re.compile(r"\s{2000}")
 _ENCODERS: dict[tuple, object] = {}
 
 
@@ -32,28 +36,34 @@ def tokenizer_files() -> tuple[str, str]:
 
 
 def encoder(files: tuple[str, str | None]):
-    """text -> ids of the vocabulary file; special strings in a text are ordinary text.
+    """text -> ids that the tokenizers library gives for ``files[0]`` without adding special tokens.
 
-    The ids are those of ``files[0]`` read by the tokenizers library. Where ``files[1]``
-    holds the same vocabulary as ranks, texts of Latin letters go through the faster
-    reader of ranks, which gives the same ids (tested); others through the first.
+    A special string inside a text has its own id, as that library reads it. Where
+    ``files[1]`` holds the same vocabulary as ranks, texts of Latin letters go through the
+    faster reader of ranks, which gives the same ids (tested). Texts with other letters, a
+    special string or a long run of blanks go through the first.
     """
     if files in _ENCODERS:
         return _ENCODERS[files]
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(files[0])
-    whole.encode_special_tokens = True
     encode = lambda t: whole.encode(t, add_special_tokens=False).ids
     if files[1]:
         import public_tokenizers
         import tiktoken
 
+        with open(files[0], encoding="utf-8") as f:
+            special = [x["content"] for x in json.load(f).get("added_tokens", [])]
         with open(files[1], "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         slow = encode
-        encode = lambda t: quick.encode_ordinary(t) if t.isascii() or max(map(ord, set(t))) <= SAFE else slow(t)
+
+        def plain(t: str) -> bool:
+            return (t.isascii() or max(map(ord, set(t))) <= SAFE) and not any(x in t for x in special) and (len(t) < LONG or not BLANKS.search(t))
+
+        encode = lambda t: quick.encode_ordinary(t) if plain(t) else slow(t)
     _ENCODERS[files] = encode
     return encode
 
@@ -144,16 +154,17 @@ def pack(parts: DataFrame, most: int = 1024, space: int = 128, group_pieces: int
     groups = max(1, -(-n // group_pieces))
     key = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = parts.withColumns({"_h": key, "_g": F.pmod(F.hash(key, F.lit("group")), F.lit(groups))})
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
+    names = [f.name for f in parts.schema]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
 
-    def run(key, d):
-        d = d.sort_values(["_h", "doc_id", "piece", "length"], kind="stable")
+    def run(key: tuple[pa.Scalar, ...], d: pa.Table) -> pa.Table:
+        d = d.take(pc.sort_indices(d, [(c, "ascending") for c in ("_h", "doc_id", "piece", "length")]))
         bins = OpenSequences(most, space)
-        spots = [bins.place(int(x)) for x in d["length"]]
-        base = int(key[0]) << 32
-        return d.drop(columns=["_g", "_h"]).assign(sequence_id=[base + s for s, _ in spots], offset=[o for _, o in spots])
+        spots = [bins.place(x) for x in d.column("length").to_pylist()]
+        base = key[0].as_py() << 32
+        return d.select(names).append_column("sequence_id", pa.array([base + s for s, _ in spots], pa.int64())).append_column("offset", pa.array([o for _, o in spots], pa.int64()))
 
-    return dealt.groupBy("_g").applyInPandas(run, schema)
+    return dealt.groupBy("_g").applyInArrow(run, schema)
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
