@@ -13,14 +13,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmotion.llm.common import id_crc
 
 DIM, GRAM = 1024, 3
-#: Letters are turned into vectors in batches of about so many characters.
-BATCH_CHARS = 1_000_000
+#: Letters are turned into vectors in batches of about so many characters, n-grams in blocks.
+BATCH_CHARS, GRAM_BLOCK = 500_000, 8192
 
 
 @lru_cache(1)
@@ -28,7 +29,7 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def letter_vector(code: int, dim: int) -> np.ndarray:
     """The fixed random vector of a code point; 0 stands for any break between words."""
     return np.random.Generator(np.random.Philox(key=7_919 + code)).integers(0, 2, dim).astype(np.int8) * 2 - 1
@@ -93,22 +94,28 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def _sums(grams: np.ndarray, owner: np.ndarray, gram_of: np.ndarray, n: int, dim: int) -> np.ndarray:
+    """(n, dim) sums of the n-grams' vectors by owner, GRAM_BLOCK n-grams at a time."""
+    out = np.zeros((n, dim), np.float64)
+    for s in range(0, len(grams), GRAM_BLOCK):
+        part = grams[s : s + GRAM_BLOCK]
+        here = slice(None) if len(part) == len(grams) else (gram_of >= s) & (gram_of < s + len(part))
+        counts = np.bincount(owner[here] * len(part) + (gram_of[here] - s), minlength=n * len(part)).reshape(n, len(part))
+        out += counts.astype(np.float32) @ gram_vectors(part, dim)
+    return out
+
+
 def bundle(texts: list[str | None], dim: int) -> np.ndarray:
     """One vector per text; all zero where a text has no letter."""
     grams, owner, gram_of = gram_counts(texts)
-    n = max(1, len(grams))
-    counts = np.bincount(owner * n + gram_of, minlength=len(texts) * n).reshape(len(texts), n).astype(np.float32)
-    return counts[:, : len(grams)] @ gram_vectors(grams, dim)
+    return _sums(grams, owner, gram_of, len(texts), dim)
 
 
 def bundle_by(texts: list[str], labels: list[str], dim: int) -> dict[str, np.ndarray]:
     """One vector per label: n-grams are counted over all its texts before one product."""
     names, label_of = np.unique(labels, return_inverse=True)
     grams, owner, gram_of = gram_counts(texts)
-    n = max(1, len(grams))
-    counts = np.bincount(label_of[owner] * n + gram_of, minlength=len(names) * n).reshape(len(names), n)
-    sums = counts[:, : len(grams)].astype(np.float64) @ gram_vectors(grams, dim).astype(np.float64)
-    return dict(zip(names.tolist(), sums, strict=True))
+    return dict(zip(names.tolist(), _sums(grams, label_of[owner], gram_of, len(names), dim), strict=True))
 
 
 def learn(docs: DataFrame, dim: int = DIM, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
@@ -149,9 +156,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     names = list(prototypes)
     table = np.stack([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]) if names else np.zeros((0, dim))
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if isinstance(t, str) else None for t in b["_text"]]
+            texts = b.column(b.num_columns - 1).to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             for i, j in _chunks(texts):
                 v = bundle(texts[i:j], dim)
@@ -161,12 +168,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                     best = cos.argmax(axis=1)
                     for k in np.flatnonzero(norm > 0):
                         lang[i + k], score[i + k] = names[best[k]], min(1.0, max(0.0, float(cos[k, best[k]])))
-            yield b.drop(columns=["_text"]).assign(lang_pred=lang, score=score)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                             names=[*b.schema.names[:-1], "lang_pred", "score"])
 
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text).alias("_text"))
-    return kept.select(*[F.col(f"row.`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], "_text").mapInPandas(
-        predict, ", ".join([*(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "lang_pred string, score double"])
-    ).toDF(*keep, "lang_pred", "score")
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("_text"))
+    types = [f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    return kept.mapInArrow(predict, ", ".join([*types, "lang_pred string, score double"])).toDF(*keep, "lang_pred", "score")
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
