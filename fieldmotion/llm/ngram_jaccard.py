@@ -29,9 +29,9 @@ from fieldmotion.llm.common import parallelism, stored
 from fieldmotion.llm.shingles import counted_shingle_sets, shingle_sets
 
 #: Bytes of text hashed at once, and shingles sorted at once, in one task.
-SLICE_BYTES, CHUNK = 2_000_000, 3_000_000
+SLICE_BYTES, CHUNK = 1_000_000, 500_000
 #: Postings that one group of the counting shuffle holds, besides those of single shingles.
-GROUP = 2_000_000
+GROUP = 1_000_000
 #: Shingles in more than one class of HOT_SHARE are counted apart; there can be at most HOT_MOST.
 HOT_SHARE, HOT_MOST = 256, 1 << 20
 LONGEST = 8

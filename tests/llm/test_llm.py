@@ -176,6 +176,60 @@ def test_both_tokenizers_agree():
         assert list(a(t)) == list(b(t))
 
 
+def test_special_strings_and_long_blanks():
+    """Ids are the library's own, and a million blanks or line feeds do no harm."""
+    files = best_fit_packing.tokenizer_files()
+    a, b = best_fit_packing.encoder(files), best_fit_packing.encoder((files[0], None))
+    assert list(a("x <|endoftext|> y")) == [87, 220, 50256, 331]
+    for t in (" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "x " * 500 + "\t \n" * 5000, "\xa0" * 3000 + "z" * 2000):
+        assert list(a(t)) == list(b(t))
+
+
+def test_long_ids_beside_nulls(spark):
+    """doc_ids that a double cannot hold come back whole from packing, language ID and the pipeline's stages."""
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, LINE, "en", "a", 2**60 + 3, None, "r", "c"), (None, LINE + " and more words than that", "en", None, None, 1, "r", "c")], SCHEMA)
+    assert {r["doc_id"] for r in best_fit_packing.packed(docs).collect()} == {big, None}
+    assert {r["doc_id"] for r in hyper_language.identify(docs, hyper_language.learn(docs)).collect()} == {big, None}
+    docs = docs.union(spark.createDataFrame([(i, LINE, "en", "a", i, 0, "r", "c") for i in range(8)], SCHEMA))
+    got = {(r["doc_id"], r["n_chars"]) for r in corpus_pipeline.keep_known_languages(spark, docs, "").collect()}
+    assert len(got) == 10 and {(big, 2**60 + 3), (None, None)} < got
+
+
+def test_many_different_letters():
+    """N-grams are multiplied block by block; blocks change nothing."""
+    r = np.random.default_rng(2)
+    text = "".join(chr(0x4E00 + int(x)) for x in r.integers(0, 3000, 12_000))
+    texts = [text, text[:3000], "abc def"]
+    grams, owner, gram_of = hyper_language.gram_counts(texts)
+    assert len(grams) > hyper_language.GRAM_BLOCK
+    vectors = hyper_language.gram_vectors(grams, 64)
+    want = np.stack([vectors[gram_of[owner == i]].sum(axis=0) for i in range(3)])
+    assert (hyper_language.bundle(texts, 64) == want).all()
+
+
+def test_bundle_by_brute_force():
+    text, dim = "Ab ü", 32
+    codes, total = [0, ord("a"), ord("b"), 0, ord("ü"), 0], np.zeros(dim)
+    for i in range(len(codes) - 2):
+        v = np.ones(dim, int)
+        for k in range(3):
+            v *= np.roll(hyper_language.letter_vector(codes[i + k], dim), 2 - k)
+        total += v
+    assert (hyper_language.bundle([text], dim)[0] == total).all()
+
+
+def test_one_row_of_each_group(spark):
+    """Clashing names, null and repeated ids: one row a group stays, the same one in every run."""
+    near, other = LINE + " thirteen", "quite another text that has no partner in this small table at all"
+    rows = [(1, LINE, "z"), (None, near, "y"), (None, other, "x"), (5, near, "w"), (7, other, "v"), (7, near, "u"), (7, near, "a"), (7, near, "a"), (8, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _first string")
+    docs = docs.selectExpr("*", "'en' AS lang", "_first AS source", "1 AS key", "2 AS first", "3 AS row", "4 AS component_id")
+    got = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["_first"]) for r in got.collect()) == [(1, "z"), (7, "v"), (8, "n")]
+
+
 def test_open_sequences_is_best_fit():
     s = best_fit_packing.OpenSequences(10, 2)
     assert [s.place(n) for n in (6, 7, 3, 4, 10, 9)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (3, 0)]
@@ -341,6 +395,54 @@ def test_co_training(spark):
     assert co_training.quality_scores(empty(spark), labels).count() == 0
 
 
+def auc(score, y):
+    order = np.argsort(np.argsort(score, kind="stable"))
+    good, bad = order[y == 1], order[y == 0]
+    return (good.sum() - len(good) * (len(good) - 1) / 2) / (len(good) * len(bad))
+
+
+def quality_corpus(spark, telling):
+    """Texts of overlapping word lists; the source tells the quality, or nothing."""
+    r, rows, labels = np.random.default_rng(5), [], []
+    for i in range(1200):
+        good = int(r.random() < 0.6)
+        text = " ".join(f"{'ab'[good] if r.random() < 0.08 else 'c'}{r.integers(60)}" for _ in range(30))
+        rows.append((i, text, "en", f"s{good if telling and r.random() < 0.97 else r.integers(2)}", len(text), 0, "", ""))
+        labels.append((i, good))
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels[:160], "doc_id long, quality int")
+    return docs, known, np.array([g for _, g in labels])
+
+
+@pytest.mark.parametrize("telling", [True, False])
+def test_rounds_help_or_do_nothing(spark, telling):
+    """On documents whose labels nobody saw: metadata that tells something teaches the text
+    view; metadata that tells nothing changes little and is not listened to."""
+    docs, known, y = quality_corpus(spark, telling)
+    found = {}
+    for rounds in (0, 4):
+        got = sorted(tuple(r) for r in co_training.quality_scores(docs, known, rounds).collect())
+        found[rounds] = np.array([g[1:4] for g in got])[160:].astype(float)
+    none, some = (auc(found[k][:, 0], y[160:]) for k in (0, 4))
+    if telling:
+        assert some > none + 0.05 and auc(found[4][:, 2], y[160:]) > 0.97
+    else:
+        assert some > none - 0.02 and found[4][:, 1].std() < 0.1
+
+
+def test_all_unlabelled_documents_take_part(spark):
+    """Newton sums over the pool are those over all its rows, with what the other view hands over."""
+    r = np.random.default_rng(3)
+    t, m = r.normal(size=(500, 3)).astype(np.float32), r.normal(size=(500, 2)).astype(np.float32)
+    view = lambda k: co_training.View(np.zeros(k), np.ones(k), r.normal(size=k + 1), sure=(-0.5, 0.7))
+    views = [view(3), view(2)]
+    pool = spark.createDataFrame([(bytearray(a.tobytes()), bytearray(b.tobytes())) for a, b in zip(t, m)], "t binary, m binary")
+    got = co_training.pool_sums(pool, views)
+    for me, other, x, o in ((0, 1, t, m), (1, 0, m, t)):
+        y = views[other].pseudo_labels(o.astype(float))
+        g, h = co_training.newton_sums(views[me].inputs(x[y >= 0].astype(float)), y[y >= 0], views[me].weights)
+        assert got[me][0] == (y >= 0).sum() > 0 and np.allclose(got[me][1], g) and np.allclose(got[me][2], h)
+
+
 def test_pipeline_stages(spark):
     docs = odd_docs(spark)
     for _, stage in corpus_pipeline.STAGES[:4]:
