@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmotion.llm.best_fit_packing import packed
-from fieldmotion.llm.common import id_crc, stored
+from fieldmotion.llm.common import id_crc, rowed, stored
 from fieldmotion.llm.hyper_language import identify, learn
 from fieldmotion.llm.ngram_jaccard import near_duplicates
 from fieldmotion.llm.systematic_mix import emitted, systematic_mix, word_count
@@ -38,13 +38,15 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near duplicates.
-
-    Rows that repeat both doc_id and text count once. Rows without a doc_id stay only
-    where nobody in their group has one.
+    """One row of every group of near duplicates: the first by doc_id (null last), then
+    text, then the whole row; rows that repeat it in every column count once.
     """
-    firsts = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id", "text"])
+    text, whole = F.xxhash64("text"), F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), text.alias("text"), whole.alias("whole"))
+    keyed = rowed(docs, key=key)
+    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "row.text"))
+    firsts = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first")).distinct()
+    return keyed.join(firsts, F.col("key") == F.col("first"), "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
