@@ -4,8 +4,9 @@ Markup is stripped to lines, one per block element; parts that cannot be the art
 (menus, notices, forms, scripts ...) leave blank lines. Text lengths are summed over
 sliding windows of lines. Text between a surge of that sum and the next dive to nothing
 is the main text; a page may have several such stretches. The surge is a share of the
-page's fullest window. Article and main elements bound stretches and weigh more, but the
-sums choose on every page.
+page's fullest window. Article and main elements weigh more, and their ends and those of
+every container inside them bound stretches, so that a container which is no text of its
+own is left out whatever it is called.
 """
 
 from __future__ import annotations
@@ -39,23 +40,24 @@ site-header site-nav social-links social-share""".split())
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|svg|template|textarea)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-BLANK = ("", False, 0.0, 0)
+BLANK = ("", False, 0.0, ())
 
 
 def _marked(attributes: str) -> set[str]:
     return {w for v in NAMED.findall(attributes) for w in v.strip("\"'").lower().split()} & MARKS
 
 
-def page_lines(page: str) -> list[tuple[str, bool, float, int]]:
+def page_lines(page: str) -> list[tuple[str, bool, float, tuple[int, ...]]]:
     """(text, inside an article or main element, share of the text in links, section) per line.
 
-    A section is an outermost article or main element, elsewhere the nearest of SECTIONS.
-    A part that is left out and either end of an article give WINDOW blank lines. Elements may lack their end tags:
-    an end tag closes all that is open inside its element, and an article ends whatever
-    menu or notice was left open before it.
+    A section is an article or main element or the nearest of SECTIONS; inside an article it
+    is the path of those from the article down. A part that is left out, and both ends of
+    an article and of every section in it, give WINDOW blank lines. Elements may lack their
+    end tags: an end tag closes all that is open inside its element, and an article ends
+    whatever menu or notice was left open before it.
     """
-    lines: list[tuple[str, bool, float, int]] = []
-    open_: list[tuple[str, bool, int]] = []  # container, left out, section
+    lines: list[tuple[str, bool, float, tuple[int, ...]]] = []
+    open_: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # container, left out, bounds stretches, section
     text: list[str] = []
     linked, in_link, depth_out, depth_main, sections = 0, False, 0, 0, 0
 
@@ -63,7 +65,7 @@ def page_lines(page: str) -> list[tuple[str, bool, float, int]]:
         nonlocal linked
         line = " ".join(entities.unescape("".join(text)).split())
         if line:
-            lines.append((line, depth_main > 0, min(1.0, linked / len(line)), open_[-1][2] if open_ else 0))
+            lines.append((line, depth_main > 0, min(1.0, linked / len(line)), open_[-1][3] if open_ else ()))
         text.clear()
         linked = 0
 
@@ -75,15 +77,15 @@ def page_lines(page: str) -> list[tuple[str, bool, float, int]]:
 
     def close(k: int) -> None:
         nonlocal depth_out, depth_main
-        was = depth_main
-        for name, out, _ in open_[k:]:
+        bounded = any(bounds for _, _, bounds, _ in open_[k:])
+        for name, out, _, _ in open_[k:]:
             depth_out -= out
             depth_main -= name in ("article", "main")
         del open_[k:]
-        if was and not depth_main:
+        if bounded:
             lines.extend([BLANK] * WINDOW)
 
-    page = RAW.sub(" ", page)
+    page = RAW.sub("", page)
     at = 0
     for tag in TAG.finditer(page):
         add(page[at : tag.start()])
@@ -100,7 +102,7 @@ def page_lines(page: str) -> list[tuple[str, bool, float, int]]:
         if name not in CONTAINERS or name in VOID:
             continue
         if end:
-            places = [i for i, (x, _, _) in enumerate(open_) if x == name]
+            places = [i for i, (x, _, _, _) in enumerate(open_) if x == name]
             if places:
                 close(places[-1])
             continue
@@ -108,20 +110,21 @@ def page_lines(page: str) -> list[tuple[str, bool, float, int]]:
             continue
         if name in ("article", "main", "body"):
             if depth_out and not depth_main:
-                close(next(i for i, (_, out, _) in enumerate(open_) if out))
+                close(next(i for i, (_, out, _, _) in enumerate(open_) if out))
             out = False
         else:
             marked = _marked(attributes)
             out = name in NEVER or bool(marked) or (name == "header" and not depth_main)
         starts = name in ("article", "main") and not depth_main
-        if (out and not depth_out) or starts:
+        inner = name in SECTIONS and depth_main > 0
+        if (out and not depth_out) or starts or inner:
             flush()
             lines.extend([BLANK] * WINDOW)
-        section = open_[-1][2] if open_ else 0
-        if starts or (name in SECTIONS and not depth_main):
+        section = open_[-1][3] if open_ else ()
+        if starts or name in SECTIONS:
             sections += 1
-            section = sections
-        open_.append((name, out, section))
+            section = (*(section if inner else ()), sections)
+        open_.append((name, out, starts or inner, section))
         depth_out += out
         depth_main += name in ("article", "main")
     add(page[at:])
@@ -156,18 +159,19 @@ def main_text(page: str | None) -> str:
 
     A line counts with its characters outside links, or in an article or main element
     WEIGHT times with all. A stretch needs a window of SURGE times the fullest one. What
-    stands apart from a stretch but in its section, as a closing line between two removed
-    parts, belongs to it; lines made of links alone belong to it only between its lines.
+    stands apart from a stretch but in its section or around it in the article, as a
+    closing line between two removed parts, belongs to it; lines made of links alone belong
+    to it only between its lines.
     """
     lines = page_lines(page or "")
     lengths = [WEIGHT * len(text) if main else round(len(text) * (1 - share)) for text, main, share, _ in lines]
     most = max((sum(lengths[i : i + WINDOW]) for i in range(len(lengths))), default=0)
     taken: set[int] = set()
-    for start, end in stretches(lengths, max(1, SURGE * most)):
+    for start, end in stretches(lengths, max(1, SURGE * most), WINDOW):
         while not lengths[end - 1]:
             end -= 1
         taken.update(range(start, end))
-    sections = {lines[i][3] for i in taken if lengths[i]}
+    sections = {lines[i][3][:k] for i in taken if lengths[i] for k in range(len(lines[i][3]) + 1)} - {()}
     return "\n".join(line[0] for i, line in enumerate(lines) if line[0] and (i in taken or (lengths[i] and line[3] in sections)))
 
 

@@ -143,6 +143,51 @@ def test_windows_choose_the_text_on_every_page():
     assert line_blocks.main_text(stripped) == line_blocks.main_text(page) == "\n".join(["Big", *whole, "So."])
 
 
+def test_windows_choose_inside_an_article(monkeypatch):
+    """Containers nobody has a name for go or stay by their windows; another surge or window changes that."""
+    para = lambda k, n: f"<p>{' '.join([k] * n)}.</p>"
+    page = (f"<body><article><h1>Head</h1><div class=body>{para('long', 60)}{para('so', 2)}{para('more', 70)}</div><div class='ad-slot x9'><p>Buy now!</p></div>"
+            f"<section class=related-posts-list><p>Read this</p><p>And that</p></section><section class=second>{para('deep', 40)}</section><p>End.</p></article></body>")
+    long, so, more, deep = (" ".join([k] * n) + "." for k, n in (("long", 60), ("so", 2), ("more", 70), ("deep", 40)))
+    assert line_blocks.main_text(page) == "\n".join(["Head", long, so, more, deep, "End."])
+    monkeypatch.setattr(line_blocks, "SURGE", 0.5)
+    assert line_blocks.main_text(page) == "\n".join(["Head", long, so, more, "End."])
+    monkeypatch.setattr(line_blocks, "SURGE", 0.01)
+    assert "Buy now!" in line_blocks.main_text(page) and "And that" in line_blocks.main_text(page)
+    monkeypatch.setattr(line_blocks, "SURGE", 0.25)
+    three = page.replace("<p>End.", f"<section>{para('trio', 12) * 3}</section><p>End.")
+    assert line_blocks.main_text(three).count("trio") == 36
+    monkeypatch.setattr(line_blocks, "WINDOW", 1)
+    assert line_blocks.main_text(three) == line_blocks.main_text(page)
+
+
+def test_markup_leaves_no_blank():
+    assert line_blocks.main_text("<p>Hello<!-- c -->world<script>x</script>, a<b>b</b>c</p>") == "Helloworld, abc"
+
+
+def test_stretches_against_brute_force():
+    """A stretch is a run of windows with text that holds a window of the surge, up to its neighbours with text."""
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        n = [int(x) for x in r.choice([0, 0, 0, 5, 20, 90], r.integers(1, 30))]
+        window, surge = int(r.integers(1, 5)), int(r.integers(1, 150))
+        got = {i for s, e in line_blocks.stretches(n, surge, window) for i in range(s, e) if n[i]}
+        runs, run = [], []
+        for i, x in enumerate(n):
+            if x and run and i - run[-1] > window:
+                runs.append(run)
+                run = []
+            if x:
+                run.append(i)
+        for run in [*runs, run]:
+            sums = [sum(n[max(0, j - window + 1) : j + 1]) for j in range(run[0], min(len(n), run[-1] + window))] if run else []
+            first = next((i for i in run if max((sums[j - run[0]] for j in range(i, min(i + window, run[0] + len(sums)))), default=0) >= surge), None)
+            if first is not None:
+                while first - 1 in run:
+                    first -= 1
+            assert got & set(run) == ({i for i in run if i >= first} if first is not None else set())
+
+
 def test_extract_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>hello</p>", None)], "page_id long, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in line_blocks.extract(pages).collect()) == [("", 0), ("hello", 5)]
