@@ -1,23 +1,31 @@
 """Nearest neighbours by a block matrix join.
 
 Vectors are scaled to length 1 and rounded to int8. Blocks of queries meet blocks of
-candidates; one product of int8 tiles gives every similarity of the two blocks with a
-bound on its rounding error. A pair whose upper bound is below the k-th best lower bound
-cannot be among the k nearest; the others are computed again in double precision from
-the original vectors. Each block pair leaves k pairs a query, which heaps merge.
+candidates in the cells of a grid of tasks; one product of int8 tiles gives every
+similarity of the two blocks with a bound on its rounding error. A pair whose upper bound
+is below the k-th best lower bound of its query cannot be among the k nearest. Heaps merge
+the survivors of all blocks by their bounds; what is left meets its original vectors again
+and is computed in double precision.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmotion.llm.common import stored
+from fieldmotion.llm.common import parallelism, stored
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that squares neither overflow nor vanish; an exact step
+    that leaves the cosine as it is."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -30,11 +38,13 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def cosine(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Row by row, in double precision."""
+    q, c = scaled(q), scaled(c)
     return _dot(q, c) / (np.sqrt(_dot(q, q)) * np.sqrt(_dot(c, c)))
 
 
 def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 tiles of unit vectors, the scale of each row and the length of its rounding error."""
+    v = scaled(v)
     unit = v / np.sqrt((v * v).sum(axis=1))[:, None]
     scale = np.abs(unit).max(axis=1) / 127
     q = np.rint(unit / scale[:, None]).astype(np.int8)
@@ -42,26 +52,24 @@ def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, error
 
 
-def best_of_blocks(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of c, score): for each query its k nearest of the block, exactly.
+Tile = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # row numbers, int8 rows, scales, errors
+
+
+def survivors(a: Tile, b: Tile, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, lower, upper bound) of the pairs that can be among a row's k nearest in b.
 
     |<a, b> - <A, B>| <= |a - A| |b| + |A| |b - B| with |b| = 1 and |A| <= 1 + |a - A|.
     """
-    if not len(q) or not len(c):
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    (qi, qs, qe), (ci, cs, ce) = quantised(q), quantised(c)
+    (a_rows, qi, qs, qe), (b_rows, ci, cs, ce) = a, b
     near = (qi.astype(np.float32) @ ci.astype(np.float32).T) * (qs[:, None] * cs[None, :])  # whole numbers below 2**24: exact for up to 1,040 dimensions
+    if qi.shape[1] > 1040:
+        near = (qi.astype(np.float64) @ ci.astype(np.float64).T) * (qs[:, None] * cs[None, :])
     slack = qe[:, None] + (1 + qe)[:, None] * ce[None, :] + 1e-6
-    own = q_ids[:, None] == c_ids[None, :]
+    own = a_rows[:, None] == b_rows[None, :]
     low = np.where(own, -np.inf, near - slack)
-    floor = np.partition(low, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(q), -np.inf)
+    floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] > k else np.full(len(qi), -np.inf)
     at, to = np.nonzero(~own & (near + slack >= floor[:, None]))
-    score = cosine(q[at], c[to])
-    order = np.lexsort((c_ids[to], -score, at))
-    at, to, score = at[order], to[order], score[order]
-    first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1]) if len(at) else np.zeros(0, int)
-    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-    return at[rank < k], to[rank < k], score[rank < k]
+    return at, to, low[at, to], (near + slack)[at, to]
 
 
 def usable(vector: Column) -> Column:
@@ -71,49 +79,111 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows (id, vec) gathered into blocks of about ``size``: (dim, block, ids, vectors)."""
+def _tiles(rows: DataFrame, size: int) -> DataFrame:
+    """(dim, block, ids, rows, tile, scales, errors): rows (row, id, vec) in blocks of about ``size``."""
     n = max(1, -(-rows.count() // size))
-    keyed = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    keyed = rows.select("row", "id", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("block"))
+
+    def gather(key: tuple[pa.Scalar, ...], d: pa.Table) -> pa.Table:
+        d = d.sort_by("row")
+        v = d.column("vec").combine_chunks().flatten().to_numpy().reshape(d.num_rows, -1)
+        q, scale, error = quantised(v)
+        raw = [d.column("id").to_numpy(), d.column("row").to_numpy(), q, scale, error]
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), **{c: [x.tobytes()] for c, x in zip(("ids", "rows", "tile", "scales", "errors"), raw, strict=True)}})
+
+    return keyed.groupBy("dim", "block").applyInArrow(gather, "dim int, block int, ids binary, rows binary, tile binary, scales binary, errors binary")
 
-    def gather(key, d):
-        d = d.sort_values("id", kind="stable")
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], f"{name}_ids": [d["id"].to_numpy(np.int64).tobytes()],
-                             f"{name}_vectors": [np.stack(d["vec"].to_numpy()).astype(np.float64).tobytes()]})
 
-    return keyed.groupBy(F.size("vec").alias("dim"), "_b").applyInPandas(gather, f"dim int, block int, {name}_ids binary, {name}_vectors binary")
+def _grid(asked: int, kept: int, tasks: int) -> tuple[int, int]:
+    """Rows and columns of a grid of about ``tasks`` cells, shaped so that blocks are copied least."""
+    rows = max(1, min(asked, round(math.sqrt(tasks * asked / max(1, kept)))))
+    return rows, max(1, min(kept, -(-tasks // rows)))
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding",
-            query_block: int = 2048, block: int = 4096) -> DataFrame:
+            query_block: int = 1024, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of each query row.
 
-    A row that repeats another's id is another candidate, but never its own. Ties go to
+    A row that repeats another's id is another candidate and another query, but no
+    candidate for its own id. Ties go to
     the smaller id. Fewer candidates than k give fewer rows. Vectors of unequal length
     are not compared. Unusable vectors and null ids take no part; an empty table gives
-    nothing. The heap of a query holds k pairs per block, however many rows there are.
+    nothing. Block pairs are dealt to a grid of some four cells a core, however many there
+    are; they carry int8 tiles, and vectors go only to the pairs that survive all bounds.
     """
-    good = stored(rows.where(usable(F.col(vector)) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("q")), "vectors")
-    asked = stored(_blocks(good.where("q").select("id", "vec"), query_block, "q"), "query-blocks")
-    kept = stored(_blocks(good.select("id", "vec"), block, "c").withColumnRenamed("block", "c_block"), "blocks")
-    met = asked.join(kept, "dim").repartition(max(1, asked.count() * kept.count()), "block", "c_block")
+    good = rows.where(usable(F.col(vector)) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    good = stored(good.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asked = stored(_tiles(good.where("q").select("row", "id", "vec"), query_block), "query-tiles")
+    kept = stored(_tiles(good.select("row", "id", "vec"), block), "tiles")
+    g, h = _grid(asked.count(), kept.count(), 4 * parallelism(rows))
+    names = ("ids", "rows", "tile", "scales", "errors")
+
+    def cells(df: DataFrame, mine: str, n: int, m: int) -> DataFrame:
+        other = "s" if mine == "r" else "r"
+        spread = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
+        return df.select("dim", F.pmod("block", F.lit(n)).alias(mine), spread, *[F.col(c).alias(f"{mine}_{c}") for c in names])
+
+    left, right = cells(asked, "r", g, h), cells(kept, "s", h, g)
+    place = ["dim", "r", "s"]
+    met = left.repartition(g * h, *place).join(right.repartition(g * h, *place), place)
+    met = met.select("dim", *[f"r_{c}" for c in names], *[f"s_{c}" for c in names])
+
+    def tile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                dim = b.column(0)[i].as_py()
+                raw = [b.column(c)[i].as_py() for c in range(1, 11)]
+                read = lambda p: (np.frombuffer(p[0], np.int64), (np.frombuffer(p[1], np.int64), np.frombuffer(p[2], np.int8).reshape(-1, dim), np.frombuffer(p[3]), np.frombuffer(p[4])))  # noqa: B023, E731
+                (q_ids, q), (c_ids, c) = read(raw[:5]), read(raw[5:])
+                for s in range(0, len(q_ids), 256):
+                    part = tuple(x[s : s + 256] for x in q)
+                    at, to, low, high = survivors((q_ids[s : s + 256], *part[1:]), (c_ids, *c[1:]), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0][at]), pa.array(q_ids[s + at]), pa.array(c[0][to]), pa.array(c_ids[to]), pa.array(low), pa.array(high)],
+                                                     names=["q_row", "query_id", "c_row", "vec_id", "low", "high"])
+
+    found = met.mapInArrow(tile, "q_row long, query_id long, c_row long, vec_id long, low double, high double")
+    pairs = stored(found, "neighbour-pairs")
+    left_over = pairs.join(_floors(pairs, k), "q_row").where("high >= floor").select("q_row", "query_id", "c_row", "vec_id")
+    vec = good.select("row", "vec")
+    both = (left_over.join(vec.select(F.col("row").alias("c_row"), F.col("vec").alias("cv")), "c_row")
+            .join(vec.select(F.col("row").alias("q_row"), F.col("vec").alias("qv")), "q_row").select("q_row", "query_id", "vec_id", "qv", "cv"))
+
+    def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.diff(b.column(3).offsets.to_numpy())
+            score = np.zeros(b.num_rows)
+            for dim in np.unique(sizes):
+                i = pa.array(np.flatnonzero(sizes == dim))
+                x, y = (b.column(c).take(i).flatten().to_numpy().reshape(-1, dim) for c in (3, 4))
+                score[i.to_numpy()] = cosine(x, y)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(score)], names=["q_row", "query_id", "vec_id", "score"])
+
+    scored = both.mapInArrow(exact, "q_row long, query_id long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _floors(pairs: DataFrame, k: int) -> DataFrame:
+    """(q_row, floor): the k-th best lower bound of each query; tasks keep a heap of k a query."""
 
-    def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def heaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[float]] = {}
         for b in batches:
-            for r in b.itertuples():
-                q_ids, c_ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.c_ids, np.int64)
-                q, c = np.frombuffer(r.q_vectors).reshape(-1, r.dim), np.frombuffer(r.c_vectors).reshape(-1, r.dim)
-                for i in range(0, len(q), 256):
-                    at, to, score = best_of_blocks(q_ids[i : i + 256], q[i : i + 256], c_ids, c, k)
-                    yield pd.DataFrame({"query_id": q_ids[i + at], "vec_id": c_ids[to], "score": score})
-
-    def merge(key, d):
-        best = heapq.nsmallest(k, zip(-d["score"], d["vec_id"], strict=True))
-        return pd.DataFrame({"query_id": [key[0]] * len(best), "rank": range(1, len(best) + 1), "vec_id": [v for _, v in best], "score": [-s for s, _ in best]})
-
-    found = met.mapInPandas(tile, "query_id long, vec_id long, score double")
-    return found.groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
+            for q, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                heap = best.setdefault(q, [])
+                if len(heap) < k:
+                    heapq.heappush(heap, low)
+                elif low > heap[0]:
+                    heapq.heapreplace(heap, low)
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.list_(pa.float64()))], names=["q_row", "lows"])
+
+    def merge(key: tuple[pa.Scalar, ...], d: pa.Table) -> pa.Table:
+        lows = sorted(d.column("lows").combine_chunks().flatten().to_pylist(), reverse=True)
+        return pa.table({"q_row": [key[0].as_py()], "floor": [lows[k - 1] if len(lows) >= k else -math.inf]})
+
+    return pairs.select("q_row", "low").mapInArrow(heaps, "q_row long, lows array<double>").groupBy("q_row").applyInArrow(merge, "q_row long, floor double")
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

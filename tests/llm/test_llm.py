@@ -293,6 +293,26 @@ def test_neighbours_against_brute_force(spark):
     assert {r["query_id"] for r in got} == set(range(0, 300, 50))
 
 
+def test_neighbours_of_huge_and_tiny_numbers(spark):
+    """Scaling by powers of two leaves the cosine as it is; lengths do not mix; repeated ids are rows."""
+    r = np.random.default_rng(1)
+    v = r.normal(size=(60, 8))
+    rows = [(i, (x * 10.0 ** (150 * (i % 3 - 1))).tolist()) for i, x in enumerate(v)] + [(100, [1e300, -1e300]), (101, [1e-300, 1e-301]), (102, [1.0, -1.0])]
+    rows += [(7, rows[8][1]), (0, rows[1][1])]
+    got = block_neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, query_block=2, block=16).collect()
+    unit = lambda x: np.array(x) / np.abs(x).max() / np.linalg.norm(np.array(x) / np.abs(x).max())
+    want = []
+    for q, x in rows:
+        if q % 50 == 0:
+            best = sorted((-round(float(unit(x) @ unit(y)), 12), c) for c, y in rows if c != q and len(x) == len(y))[:5]
+            want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in got) == sorted(want)
+
+
+def test_grid_of_tasks_does_not_grow_with_the_blocks():
+    assert all(block_neighbours._grid(a, b, 32)[0] * block_neighbours._grid(a, b, 32)[1] <= 64 for a in (1, 3, 50, 4000) for b in (1, 7, 90, 10**6))
+
+
 def test_flow_is_cheapest_and_shards_are_equal(spark):
     for seed in range(20):
         r = np.random.default_rng(seed)
