@@ -1,3 +1,4 @@
+import collections
 import itertools
 import os
 import re
@@ -309,6 +310,36 @@ def test_neighbours_of_huge_and_tiny_numbers(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in got) == sorted(want)
 
 
+def test_common_words_by_a_threshold(spark):
+    r = np.random.default_rng(4)
+    c = [int(x) for x in r.zipf(1.4, 800) % 10_000 + 1]
+    counts = spark.createDataFrame([(i, i % 3, x) for i, x in enumerate(c)], "word long, kind int, c long")
+    for most in (1, 40, 300, 5000):
+        got = [x["c"] for x in log_bilinear.common_words(counts, most).collect()]
+        assert len(got) <= most and (not got or sorted(got) == sorted(x for x in c if x >= min(got)))
+    assert len(log_bilinear.common_words(counts, 5000).collect()) == 800 and log_bilinear.common_words(counts.limit(0)).count() == 0
+
+
+def test_base_score_by_counting(spark):
+    """base_score, n_tokens and n_known against counts in plain Python; a second run gives the same rows."""
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    tokens = {x["doc_id"]: [*words(lower(x["text"])), None] for x in rows}
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in tokens}
+    count = collections.Counter(t for k, v in tokens.items() if not held[k] for t in v)
+    n, v = sum(count.values()), len(count)
+    first = sorted(map(tuple, log_bilinear.op7_query(spark, d).collect()))
+    assert len(first) == len(rows)
+    for doc, out, n_tokens, n_known, train, base, score in first:
+        want = sum(np.log10((count[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens[doc])
+        assert (out, n_tokens, n_known, train) == (held[doc], len(tokens[doc]), sum(count[t] > 0 for t in tokens[doc]), n)
+        assert abs(base - want) < 1e-6 * max(1, abs(want)) and score < 0
+    assert sum(r[6] for r in first if r[1]) > sum(r[5] for r in first if r[1])
+    again = sorted(map(tuple, log_bilinear.op7_query(spark, d).collect()))
+    assert all(a[:5] == b[:5] and abs(a[6] - b[6]) < 1e-3 * abs(a[6]) for a, b in zip(first, again, strict=True))
+
+
 def test_grid_of_tasks_does_not_grow_with_the_blocks():
     assert all(block_neighbours._grid(a, b, 32)[0] * block_neighbours._grid(a, b, 32)[1] <= 64 for a in (1, 3, 50, 4000) for b in (1, 7, 90, 10**6))
 
