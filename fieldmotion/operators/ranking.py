@@ -7,7 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldmotion.operators.reliable import stage
+
 SPREAD = 32
+#: Values that are sorted in one task, and bins of a histogram.
+MOST, BINS = 10_000, 1024
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
@@ -52,69 +56,68 @@ def first_fraction(df: DataFrame, bucket: Column, order: Sequence[Column], count
     )
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column,
-                      probs: Mapping[str, float], accuracy: int = 10000,
-                      spread: int = SPREAD) -> DataFrame:
-    """Linear-interpolated percentiles of a possibly huge group, exactly.
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float],
+                      most: int = MOST, bins: int = BINS) -> DataFrame:
+    """Linear-interpolated percentiles of possibly huge groups, exactly: one row per key
+    with ``n`` and one column per entry of ``probs``.
 
-    A mergeable sketch brackets each percentile; only the values inside a bracket are
-    ranked, and the ranks start from the count below it. One row per key with ``n``
-    and one column per entry of ``probs``.
+    Groups of up to ``most`` values are sorted as they are. In larger ones every percentile
+    lies in a bracket of values, at first the whole range; a pass over the data makes one
+    histogram of each bracket, all percentiles and keys together, and the bin that holds
+    the wanted ranks is the next bracket. It ends where the two ranks fall in two bins or
+    on one value, or where a bracket holds few enough values to be sorted. Null values are
+    left out; a table without values gives no row.
     """
-    vals = df.where(value.isNotNull()).select(*keys, value.alias("_x"))
-    eps = 4.0 / accuracy
+    group = [*keys] or ["_all"]
+    vals = df.where(value.isNotNull()).select(*keys, *([] if keys else [F.lit(0).alias("_all")]), value.cast("double").alias("_x"))
+    vals = stage(vals)
     names = list(probs)
-    cuts = []
-    for name in names:
-        cuts += [max(0.0, probs[name] - eps), min(1.0, probs[name] + eps)]
-    stats = vals.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("_x", cuts, accuracy).alias("_cut"),
-    )
-    asked = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(probs[k])).alias("p"),
-                 F.col("_cut")[2 * i].alias("lo"), F.col("_cut")[2 * i + 1].alias("hi"))
-        for i, k in enumerate(names)
-    ])
-    asked_rows = stats.select(*keys, "n", F.explode(asked).alias("q")).select(
-        *keys, F.col("q.i").alias("_i"), "n", F.col("q.p").alias("_p"),
-        F.col("q.lo").alias("_lo"), F.col("q.hi").alias("_hi"))
-    if keys:
-        salted = vals.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(spread)))
-        wide = asked_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
-        paired = salted.join(wide, [*keys, "_salt"])
-    else:
-        # one row per requested percentile: the broadcast side has len(probs) rows
-        paired = vals.join(F.broadcast(asked_rows))
-    group = [*keys, "_i"]
-    x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
-    counted = paired.groupBy(*group, F.when((x >= lo) & (x <= hi), x).alias("_v")).agg(
-        F.count("*").alias("_c"),
-        F.count_if(x < lo).alias("_below"),
-        F.min(F.when(x > hi, x)).alias("_next"),
-        F.first("n").alias("n"), F.first("_p").alias("_p"),
-    )
-    w = Window.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first())
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    ranked = counted.withColumns({
-        "_base": F.sum("_below").over(whole),
-        "_succ": F.min("_next").over(whole),
-        "_upto": F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(0)).over(upto),
-    })
-    at = F.col("_p") * (F.col("n") - 1)
-    low_rank = F.floor(at)
-    end = F.col("_base") + F.col("_upto")
-    begin = end - F.col("_c")
-
-    def pick(rank):
-        return F.max(F.when(F.col("_v").isNotNull() & (rank >= begin) & (rank < end), F.col("_v")))
-
-    found = ranked.groupBy(*group).agg(
-        pick(low_rank).alias("_a"), pick(low_rank + 1).alias("_b"), F.first("_succ").alias("_succ"),
-        F.first("n").alias("n"), F.first(at - low_rank).alias("_f"))
-    lerp = F.when(F.col("_f") == 0, F.col("_a")).otherwise(
-        F.col("_a") + (F.coalesce(F.col("_b"), F.col("_succ")) - F.col("_a")) * F.col("_f"))
-    out = found.withColumn("_r", lerp)
-    picks = [F.max(F.when(F.col("_i") == i, F.col("_r"))).alias(k) for i, k in enumerate(names)]
-    return out.groupBy(*keys).agg(F.first("n").alias("n"), *picks)
+    sizes = vals.groupBy(*group).agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    large = stage(sizes.where(F.col("n") > most))
+    rest = vals.join(large, group, "left_anti").groupBy(*group)
+    out = rest.agg(F.count("*").alias("n"), *[F.percentile("_x", F.lit(float(probs[k]))).alias(k) for k in names])
+    if not large.isEmpty():
+        asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(probs[k])).alias("p")) for i, k in enumerate(names)])).alias("q")
+        at = F.col("q.p") * (F.col("n") - 1)
+        state = large.select(*group, "n", "lo", "hi", asked).select(
+            *group, "n", "lo", "hi", F.col("q.i").alias("i"), F.floor(at).alias("r"), (at - F.floor(at)).alias("f"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
+        found = _narrowed(vals, state, group, most, bins)
+        lerp = F.when(F.col("f") == 0, F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
+        picks = [F.max(F.when(F.col("i") == i, lerp)).alias(k) for i, k in enumerate(names)]
+        out = out.unionByName(found.groupBy(*group).agg(F.first("n").alias("n"), *picks))
+    return out.select(*keys, "n", *names)
+
+
+def _narrowed(vals: DataFrame, state: DataFrame, group: list[str], most: int, bins: int) -> DataFrame:
+    """(group, i, n, f, a, b): the values at ranks r and r + 1 of each asked percentile."""
+    done, one, turn = None, [*group, "i"], 0
+    carried = [*one, "n", "r", "f"]
+    fresh = lambda d: d.select(*[F.col(c).alias(c) for c in d.columns])
+    while True:
+        x, lo, hi = F.col("_x"), F.col("lo"), F.col("hi")
+        inside = vals.join(fresh(state), group).where(x.between(lo, hi))
+        share = (x / 2 - lo / 2) / (hi / 2 - lo / 2)
+        if turn % 2 == 0:  # every other pass in steps of magnitude, for long tails
+            size = lambda v: F.signum(v) * F.log1p(F.abs(v) * 1e8)
+            even = (size(x) - size(lo)) / (size(hi) - size(lo))
+            share = F.when((size(hi) > size(lo)) & ~F.isnan(even), even).otherwise(share)
+        turn += 1
+        place = F.when(hi > lo, F.least(F.lit(bins - 1), F.floor(share * bins))).otherwise(0)
+        hist = inside.groupBy(*carried, "below", place.alias("bin")).agg(F.count("*").alias("c"), F.min("_x").alias("mn"), F.max("_x").alias("mx"))
+        upto = F.sum("c").over(Window.partitionBy(*one).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # at most ``bins`` rows
+        ranked = hist.withColumn("end", F.col("below") + upto).withColumn("begin", F.col("end") - F.col("c"))
+        holds = lambda r: F.max(F.when((F.col("begin") <= r) & (r < F.col("end")), F.struct("bin", "mn", "mx", "begin", "c")))
+        last = F.least(F.col("r") + 1, F.col("n") - 1)
+        new = stage(ranked.groupBy(*carried).agg(holds(F.col("r")).alias("s"), holds(last).alias("t")))
+        apart, flat = F.col("s.bin") != F.col("t.bin"), F.col("s.mn") == F.col("s.mx")
+        solved = new.where(apart | flat).select(*one, "n", "f", F.col("s.mx").alias("a"), F.col("t.mn").alias("b"))
+        done = solved if done is None else done.unionByName(solved)
+        state = new.where(~apart & ~flat).select(*carried, F.col("s.mn").alias("lo"), F.col("s.mx").alias("hi"), F.col("s.begin").alias("below"), F.col("s.c").alias("inside"))
+        widest = state.agg(F.max("inside").alias("m")).first()["m"]
+        if widest is None:
+            return done
+        if widest <= most:
+            few = vals.join(fresh(state), group).where(F.col("_x").between(F.col("lo"), F.col("hi")))
+            sorted_ = few.groupBy(*carried, "below").agg(F.sort_array(F.collect_list("_x")).alias("_v"))  # at most ``most`` values
+            pick = lambda k: F.col("_v")[(F.least(F.col("r") + k, F.col("n") - 1) - F.col("below")).cast("int")]
+            return done.unionByName(sorted_.select(*one, "n", "f", pick(0).alias("a"), pick(1).alias("b")))

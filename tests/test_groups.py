@@ -78,13 +78,27 @@ def test_similarity_with_one_bad_point_in_three(spark):
         assert np.allclose([x["a"], x["b"], x["tx"], x["ty"]], [1.1, 0.02, 7, -3]) and (x["n"], x["n_inliers"]) == (12, 12 - f // 2 * 2) and x["accepted"]
 
 
-def test_exact_percentiles_of_a_skewed_group(spark):
-    rnd = random.Random(0)
-    vals = [0.5] * 3000 + [rnd.expovariate(0.1) for _ in range(3001)]
-    d = spark.createDataFrame([("hot", v) for v in vals] + [("one", 7.0), ("two", 1.0), ("two", 2.0)], "k string, v double")
-    got = {r.k: r for r in K.exact_percentiles(d, ["k"], F.col("v"), {"m": 0.5, "p": 0.99}, accuracy=50).collect()}
-    assert (got["hot"].m, got["hot"].p) == pytest.approx(tuple(np.percentile(vals, [50, 99])))
-    assert (got["one"].m, got["two"].m) == (7.0, 1.5)
+@pytest.mark.parametrize("most", [10_000, 30])
+def test_exact_percentiles_of_a_skewed_group(spark, most):
+    """Sorted as they are, and by histograms that narrow: ties, long tails, signs, few values, nulls."""
+    r = np.random.default_rng(7)
+    groups = {"flat": r.random(400), "ties": r.integers(0, 4, 300).astype(float), "tail": np.exp(r.normal(0, 40, 300)), "signs": -np.exp(r.normal(0, 9, 200)) * r.choice([-1, 1], 200),
+              "one": np.array([3.5]), "same": np.full(90, -2.0), "wide": np.array([-1e308, 1e308, 0.0, 5.0] * 20)}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("flat", None), ("none", None)]
+    d = spark.createDataFrame(rows, "k string, v double")
+    probs = {"low": 0.0, "q": 0.25, "m": 0.5, "p": 0.99, "top": 1.0}
+    got = {x.k: x for x in K.exact_percentiles(d, ["k"], F.col("v"), probs, most, 32).collect()}
+    assert got.keys() == groups.keys()
+    for k, x in groups.items():
+        for name, p in probs.items():
+            with np.errstate(over="ignore", invalid="ignore"):
+                at = p * (len(x) - 1)
+                s = np.sort(x)
+                want = s[int(at)] if at == int(at) else s[int(at)] + (s[int(at) + 1] - s[int(at)]) * (at - int(at))
+            assert got[k]["n"] == len(x) and got[k][name] == pytest.approx(want, rel=1e-12), (k, name)
+    whole = K.exact_percentiles(d.where("k = 'flat'"), [], F.col("v"), {"m": 0.5}, most, 32)
+    assert whole.columns == ["n", "m"] and whole.first()["m"] == pytest.approx(np.median(groups["flat"]))
+    assert K.exact_percentiles(d.where("v is null"), [], F.col("v"), {"m": 0.5}, most).count() == 0
 
 
 def test_top_per_group_and_first_fraction(spark):
