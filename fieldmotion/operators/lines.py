@@ -13,14 +13,35 @@ from fieldmotion.functions.constants import IMAGE_H, IMAGE_W
 FRAME = ["clip", "frame_idx"]
 
 
-def fit_lines(pixels: DataFrame, keys: list[str], along: str = "py", across: str = "px", min_pixels: int = 20) -> DataFrame:
+def moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One mergeable record per key: n, sums and products of pixel places, box and summed
+    probability. ``rows`` are pixels, or records of finer keys, whose sums are added up.
+
+    Pixel places are whole numbers, so the sums are exact in any order of merging.
+    """
+    if "sxx" in rows.columns:
+        total = [F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy", "sp")]
+        return rows.groupBy(*keys).agg(*total, *[F.min(c).alias(c) for c in ("x_min", "y_min")], *[F.max(c).alias(c) for c in ("x_max", "y_max")])
+    x, y = F.col("px").cast("long"), F.col("py").cast("long")
+    prob = F.sum("prob") if "prob" in rows.columns else F.lit(None).cast("double")
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
+        prob.alias("sp"), F.min("px").alias("x_min"), F.max("px").alias("x_max"), F.min("py").alias("y_min"), F.max("py").alias("y_max"))
+
+
+def _spread(a: str, b: str) -> Column:
+    """n * n times the covariance of two places, exactly."""
+    return (F.col("n") * F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}")).cast("double")
+
+
+def fit_lines(rows: DataFrame, keys: list[str], along: str = "py", across: str = "px", min_pixels: int = 20) -> DataFrame:
     """Straight line ``across = a + b * along`` through the pooled pixels of each key;
     needs ``min_pixels`` and some spread. Gives a, b, lo, hi (range of along) and n."""
-    x, y = F.col(along).cast("double"), F.col(across).cast("double")
-    out = pixels.groupBy(*keys).agg(
-        F.regr_intercept(y, x).alias("a"), F.regr_slope(y, x).alias("b"), F.min(x).alias("lo"), F.max(x).alias("hi"),
-        F.count("*").alias("n"), F.var_pop(x).alias("_v"))
-    return out.where((F.col("n") >= min_pixels) & (F.col("_v") >= 1.0)).drop("_v")
+    u, v = along[1], across[1]
+    m = moments(rows, keys).where((F.col("n") >= min_pixels) & (_spread(u, u) >= F.col("n") * F.col("n") * 1.0))
+    slope = _spread("x", "y") / _spread(u, u)
+    out = m.withColumn("b", slope).withColumn("a", (F.col(f"s{v}") - F.col("b") * F.col(f"s{u}")) / F.col("n"))
+    return out.select(*keys, "a", "b", F.col(f"{u}_min").cast("double").alias("lo"), F.col(f"{u}_max").cast("double").alias("hi"), "n")
 
 
 def mask_coverage(fits: DataFrame, mask: DataFrame, keys: list[str], step: int = 2, radius: int = 1) -> DataFrame:
@@ -54,31 +75,27 @@ def _principal(sxx, syy, sxy):
     return vx / norm, vy / norm, big, small
 
 
-def component_stats(pixels: DataFrame, keys: list[str]) -> DataFrame:
+def component_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Area, centroid, box, mean probability and orientation of each component."""
-    x, y = F.col("px").cast("double"), F.col("py").cast("double")
-    out = pixels.groupBy(*keys).agg(
-        F.count("*").alias("area"), F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.min("px").alias("x_min"),
-        (F.max("px") + 1).alias("x_max"), F.min("py").alias("y_min"), (F.max("py") + 1).alias("y_max"),
-        F.avg("prob").alias("conf"), F.var_samp(x).alias("_xx"), F.var_samp(y).alias("_yy"), F.covar_samp(x, y).alias("_xy"))
-    vx, vy, _, _ = _principal(F.col("_xx"), F.col("_yy"), F.col("_xy"))
-    flat = F.col("area") < 2
-    return out.withColumns({"cos_t": F.when(flat, 1.0).otherwise(vx), "sin_t": F.when(flat, 0.0).otherwise(vy)}).drop("_xx", "_yy", "_xy")
+    n, per = F.col("n"), F.greatest(F.col("n") * (F.col("n") - 1), F.lit(1))
+    vx, vy, _, _ = _principal(*(_spread(a, b) / per for a, b in ("xx", "yy", "xy")))
+    flat = n < 2
+    return moments(rows, keys).select(
+        *keys, n.alias("area"), (F.col("sx") / n).alias("cx"), (F.col("sy") / n).alias("cy"), "x_min", (F.col("x_max") + 1).alias("x_max"), "y_min", (F.col("y_max") + 1).alias("y_max"),
+        (F.col("sp") / n).alias("conf"), F.when(flat, 1.0).otherwise(vx).alias("cos_t"), F.when(flat, 0.0).otherwise(vy).alias("sin_t"))
 
 
-def line_params(pixels: DataFrame, keys: list[str], min_aspect: float, min_pixels: int = 1) -> DataFrame:
+def line_params(rows: DataFrame, keys: list[str], min_aspect: float, min_pixels: int = 1) -> DataFrame:
     """(rho, theta in [0, pi)) of components long enough for a line."""
-    x, y = F.col("px").cast("double"), F.col("py").cast("double")
-    m = pixels.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("_cx"), F.avg(y).alias("_cy"),
-                                  F.var_pop(x).alias("_xx"), F.var_pop(y).alias("_yy"), F.covar_pop(x, y).alias("_xy"))
-    vx, vy, big, small = _principal(F.col("_xx"), F.col("_yy"), F.col("_xy"))
-    m = m.where(F.col("n") >= min_pixels).withColumns({"_vx": vx, "_vy": vy, "_s0": F.sqrt(big * F.col("n")), "_s1": F.sqrt(F.greatest(small, F.lit(0.0)) * F.col("n"))})
+    m = moments(rows, keys).where(F.col("n") >= min_pixels)
+    vx, vy, big, small = _principal(*(_spread(a, b) / (F.col("n") * F.col("n")) for a, b in ("xx", "yy", "xy")))
+    m = m.withColumns({"_vx": vx, "_vy": vy, "_s0": F.sqrt(big * F.col("n")), "_s1": F.sqrt(F.greatest(small, F.lit(0.0)) * F.col("n"))})
     # the normal is turned into the upper half plane
     nx, ny = -F.col("_vy"), F.col("_vx")
     turn = F.when((ny < 0) | ((ny == 0) & (nx < 0)), -1.0).otherwise(1.0)
     m = m.withColumns({"_nx": nx * turn, "_ny": ny * turn, "aspect": F.when(F.col("_s1") >= 1e-6, F.col("_s0") / F.col("_s1"))})
     return m.where(F.col("aspect") >= min_aspect).select(
-        *keys, "n", "aspect", (F.col("_nx") * F.col("_cx") + F.col("_ny") * F.col("_cy")).alias("rho"), F.atan2("_ny", "_nx").alias("theta"))
+        *keys, "n", "aspect", ((F.col("_nx") * F.col("sx") + F.col("_ny") * F.col("sy")) / F.col("n")).alias("rho"), F.atan2("_ny", "_nx").alias("theta"))
 
 
 def group_collinear(lines: DataFrame, theta_tol: float, rho_tol: float, keys: list[str] = FRAME, order: str = "comp") -> DataFrame:

@@ -37,7 +37,7 @@ def mask_report(pixels: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def grouped_lines(pixels: DataFrame, channel: int, rule: dict, dedup: float | None) -> DataFrame:
-    """One token row per physical line: fragments grouped by direction and offset, small
+    """One token row per physical line, from pixels or from component records: fragments grouped by direction and offset, small
     groups dropped, and near duplicates in x reduced to the larger."""
     mine = pixels.where(F.col("ch") == channel)
     params = L.line_params(mine, COMP, rule["aspect"], rule["min_pixels"])
@@ -65,8 +65,10 @@ def tokenise(pixels: DataFrame, labeller=None) -> DataFrame:
     """All tokens of every frame: lines, hashes and numbers with their 16 features.
 
     ``labeller`` maps number groups to rows with value, has_value, conf and optionally
-    keep; by default numbers carry no value.
+    keep; by default numbers carry no value. Pixels are read once, into one record per
+    component, from which all statistics follow.
     """
+    pixels = stage(L.moments(pixels, [*FRAME, "ch", "comp"]))
     yard = grouped_lines(pixels, YARD, YARD_RULE, 50.0).withColumn("type", F.lit(YARD))
     side = grouped_lines(pixels, SIDE, SIDE_RULE, None).withColumn("type", F.lit(SIDE))
     hashes = L.component_stats(pixels.where(F.col("ch") == HASH), COMP).withColumnRenamed("comp", "line").withColumn("type", F.lit(HASH))
@@ -99,11 +101,12 @@ def label_numbers(groups: DataFrame, labeller=None) -> DataFrame:
 def extract_keypoints(pixels: DataFrame) -> DataFrame:
     """Correspondences per frame from classified pixels (columns cls and row): yard lines
     meet sidelines and number edges; hashes sit on their yard line."""
+    m = stage(L.moments(pixels, [*FRAME, "ch", "comp", "cls", "row"]))
     yard_px = pixels.where(F.col("ch") == YARD)
-    fits = L.fit_lines(yard_px, [*FRAME, "cls"])
+    fits = L.fit_lines(m.where(F.col("ch") == YARD), [*FRAME, "cls"])
     covered = L.mask_coverage(stage(fits), yard_px, [*FRAME, "cls"]).where(F.col("coverage") >= 0.70)
     yards = stage(L.spacing_outliers(stage(covered)).select(*FRAME, "cls", "a", "b"))
-    line = lambda ch: L.fit_lines(pixels.where(F.col("ch") == ch), [*FRAME, "row"], "px", "py").select(*FRAME, "row", F.col("a").alias("a2"), F.col("b").alias("b2"))
+    line = lambda ch: L.fit_lines(m.where(F.col("ch") == ch), [*FRAME, "row"], "px", "py").select(*FRAME, "row", F.col("a").alias("a2"), F.col("b").alias("b2"))
     sides, hash_rows = stage(line(SIDE)), line(HASH)
     x = class_yards(F.col("cls"))
 
@@ -112,7 +115,7 @@ def extract_keypoints(pixels: DataFrame) -> DataFrame:
         return df.select(*FRAME, u.alias("u"), v.alias("v"), x.alias("fx"), F.when(row, y_near).otherwise(y_far).alias("fy"),
                          F.when(row, F.lit(near)).otherwise(F.lit(far)).alias("kind"))
 
-    marks = L.component_stats(pixels.where(F.col("ch") == HASH), [*FRAME, "comp", "cls", "row"])
+    marks = L.component_stats(m.where(F.col("ch") == HASH), [*FRAME, "comp", "cls", "row"])
     on_line = marks.join(yards, [*FRAME, "cls"], "left")
     hashes = point(on_line, F.coalesce(F.col("a") + F.col("b") * F.col("cy"), F.col("cx")), F.col("cy"), "near_hash", "far_hash", HASH_NEAR_Y, HASH_FAR_Y)
     edges = point(L.line_crossings(yards, sides), F.col("u"), F.col("v"), "sideline_near", "sideline_far", 0.0, FIELD_WIDTH)

@@ -134,6 +134,25 @@ def test_near_pairs_equal_brute_force(spark):
     assert got == {(p[2], q[2]) for p in pts for q in pts if np.hypot(p[3] - q[3], p[4] - q[4]) < 1.5}
 
 
+def test_merged_moments_equal_those_of_pixels(spark):
+    """Statistics, fits and line directions from merged component records, and by numpy; components of one pixel too."""
+    r = np.random.default_rng(3)
+    rows = [("c", f, comp, cls, int(x), int(2 * x + r.integers(9)), 0.5) for f in range(2) for comp in range(4) for cls in (0, 1)
+            for x in r.integers(0, 1280, 1 if comp == 3 and cls else 25)]
+    d = spark.createDataFrame(rows, "clip string, frame_idx int, comp int, cls int, px int, py int, prob double")
+    fine = L.moments(d, ["clip", "frame_idx", "comp", "cls"])
+    for keys in (["clip", "frame_idx", "comp"], ["clip", "frame_idx", "comp", "cls"]):
+        for f in (L.component_stats, L.fit_lines, lambda x, k: L.line_params(x, k, 1.5, 2)):
+            assert sorted(map(tuple, f(d, keys).collect())) == sorted(map(tuple, f(fine, keys).collect()))
+    got = L.component_stats(fine, ["frame_idx", "comp"]).where("frame_idx = 0 and comp = 1").first()
+    x, y = (np.array([p[k] for p in rows if p[1] == 0 and p[2] == 1], float) for k in (4, 5))
+    w, v = np.linalg.eigh(np.cov(x, y))
+    assert (got["cx"], got["cy"], got["area"]) == (pytest.approx(x.mean()), pytest.approx(y.mean()), len(x))
+    assert abs(got["cos_t"] * v[0, 1] + got["sin_t"] * v[1, 1]) == pytest.approx(1)
+    fit = L.fit_lines(fine, ["frame_idx", "comp"]).where("frame_idx = 0 and comp = 1").first()
+    assert (fit["b"], fit["a"]) == pytest.approx(tuple(np.polyfit(y, x, 1)))
+
+
 def test_single_link_follows_a_long_chain(spark):
     pts = [("c", 0, i, 10.0 * i, 0.0) for i in range(40)] + [("c", 0, 99, 999.0, 0.0)]
     d = spark.createDataFrame(pts, "clip string, frame_idx int, comp int, cx double, cy double")
