@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog.core import R4, R6, query, r4, r6
 from catalog.q_columns import _FLAGS, _SHIFTED, EDGES, _shifted
 from catalog.q_datasets import POOL
-from catalog.q_scoring import SCORE_NUMS, SCORES, ours
+from catalog.q_scoring import COSTS, SCORE_NUMS, SCORES, ours
 from catalog.q_sequence import CUTOFF, PLAYS
 from catalog.sqlgeo import px, py
 from catalog.sqlparts import TEMPORAL, fill_ctes, loo_ctes, smooth_h_ctes, smoothed
@@ -22,7 +22,7 @@ def on_cut(text):
     return text.replace("fx_frames", "cutf")
 
 
-_TRK = f"""long AS (SELECT clip, CAST(det_idx AS BIGINT) AS track_id FROM fx_boxes JOIN cut USING (clip) GROUP BY clip, det_idx HAVING count(*) >= greatest(floor(max(cutoff)*0.5e0), 1)),
+_TRK = f"""long AS (SELECT clip, CAST(det_idx AS BIGINT) AS track_id FROM fx_boxes JOIN cut USING (clip) GROUP BY clip, det_idx HAVING count(*) FILTER (part % 7 > 0) >= greatest(floor(max(cutoff)*0.5e0), 1)),
 trk AS MATERIALIZED (SELECT b.clip, CAST(det_idx AS BIGINT) AS track_id, b.frame_idx, true AS measured, {px('h_smooth', '(x1+x2)*0.5e0', 'y1 + 0.95e0*(y2-y1)')} AS xs, {py('h_smooth', '(x1+x2)*0.5e0', 'y1 + 0.95e0*(y2-y1)')} AS y
   FROM fx_boxes b JOIN hs ON hs.clip = b.clip AND hs.frame_idx = b.frame_idx JOIN long ON long.clip = b.clip AND long.track_id = b.det_idx WHERE h_smooth IS NOT NULL),
 rg AS (SELECT clip, frame_idx, red, frame_idx - row_number() OVER (PARTITION BY clip, red ORDER BY frame_idx) AS g FROM clean),
@@ -34,17 +34,17 @@ WITH {_CUT}, {on_cut(fill_ctes())}, {smooth_h_ctes()}, {_TRK}
 SELECT clip, frame_idx, track_id, {R4('sx')} AS x_yd, {R4('sy')} AS y_yd, CASE WHEN track_id % 2 = 0 THEN 'team_A' ELSE 'unknown' END AS team, in_bad_run
 FROM ({smoothed([9], 9, None).replace('fx_points', 'trk')}) JOIN bad USING (clip, frame_idx)""")
 def build_tracks(t):
-    tracked = t.boxes.withColumn("track_id", c("det_idx").cast("long"))
+    tracked = t.boxes.withColumns({"track_id": c("det_idx").cast("long"), "interrupted": c("part") % 7 == 0})
     teams = tracked.where("track_id % 2 = 0").select("clip", "track_id").distinct().withColumn("team", F.lit("team_A"))
     d = P.build_tracks(tracked, t.frames, teams)
     return d.withColumns({"x_yd": r4("x_yd"), "y_yd": r4("y_yd")})
 
 
 # the truth is shifted by 12 frames and each player is the track's id plus 1000
-@query("score_against_truth", f"SELECT clip, track_id, player_id, n_obs, {', '.join(f'{R4(k)} AS {k}' for k in SCORE_NUMS)}, n_obs AS n_overlap_frames FROM ({SCORES})")
+@query("score_against_truth", f"SELECT clip, track_id, player_id, n_obs, {', '.join(f'{R4(k)} AS {k}' for k in SCORE_NUMS)}, n_obs AS n_overlap_frames, {R4('cost')} AS match_cost_yd FROM ({SCORES}) JOIN ({COSTS}) USING (clip, track_id, player_id)")
 def score_against_truth(t):
     scores, _ = P.score_against_truth(ours(t), t.truth, 12, 30)
-    return scores.withColumns({k: r4(k) for k in SCORE_NUMS}).drop("match_cost_yd")
+    return scores.withColumns({k: r4(k) for k in (*SCORE_NUMS, "match_cost_yd")})
 
 
 def _temporal(source):

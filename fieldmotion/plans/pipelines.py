@@ -16,6 +16,7 @@ from fieldmotion.operators import scoring as S
 from fieldmotion.operators import smoothing as M
 from fieldmotion.operators.assign import best_offset, sweep
 from fieldmotion.operators.reliable import stage
+from fieldmotion.operators.teams import label_teams
 from fieldmotion.streaming.clips import derive_labels
 
 FRAME = ["clip", "frame_idx"]
@@ -31,19 +32,26 @@ def clean_frames(frames: DataFrame, bad_len: int = 5) -> DataFrame:
     return R.bad_runs(clean, F.col("red"), bad_len).join(smooth, FRAME)
 
 
-def build_tracks(tracked: DataFrame, frames: DataFrame, teams: DataFrame | None = None, share: float = 0.5) -> DataFrame:
+def build_tracks(tracked: DataFrame, frames: DataFrame, teams: DataFrame | None = None, share: float = 0.5,
+                 pixels: DataFrame | None = None, method: str = "pca") -> DataFrame:
     """Tracked boxes and raw homographies to smoothed field positions.
 
-    ``tracked`` has clip, frame_idx, track_id and the box; ``teams`` has clip, track_id
-    and team. Tracks measured in too few frames are left out. Track counts include
-    frames past the cut-off, the threshold does not.
+    ``tracked`` has clip, frame_idx, track_id and the box, and may have ``interrupted``.
+    Tracks measured in too few frames are left out; interrupted points are positions but
+    no measurements. Track counts include frames past the cut-off, the threshold does not.
+    Teams are given (clip, track_id, team), or found for the tracks that stay by one of
+    the team methods from colour ``pixels`` (clip, track_id, h, s, v), or unknown.
     """
     clean = stage(clean_frames(frames))
     cut = clean.groupBy("clip").agg(F.first("cutoff").alias("cutoff"))
-    counts = tracked.groupBy("clip", "track_id").agg(F.count("*").alias("_n")).join(cut, "clip")
+    real = ~F.coalesce(F.col("interrupted"), F.lit(False)) if "interrupted" in tracked.columns else F.lit(True)
+    counts = tracked.groupBy("clip", "track_id").agg(F.count_if(real).alias("_n")).join(cut, "clip")
     long_ = counts.where(F.col("_n") >= F.greatest(F.floor(F.col("cutoff") * share), F.lit(1))).select("clip", "track_id")
     mine = tracked.join(long_, ["clip", "track_id"], "left_semi")
     placed = stage(S.project_boxes(mine, clean, h="h_smooth").select(*FRAME, "track_id", "x_yd", "y_yd"))
+    if teams is None and pixels is not None:
+        points = placed.join(mine.select(*FRAME, "track_id", real.alias("measured")), [*FRAME, "track_id"]).withColumnRenamed("x_yd", "x")
+        teams = label_teams(points, pixels.join(long_, ["clip", "track_id"], "left_semi"), method)
     smooth = M.smooth_track(placed, "x_yd", "y_yd", out=("sx", "sy"))
     flags = clean.select(*FRAME, "in_bad_run")
     out = smooth.join(flags, FRAME).where(F.col("sx").isNotNull() & F.col("sy").isNotNull())
