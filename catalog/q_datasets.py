@@ -60,8 +60,8 @@ def read_ledger(t):
     path = scratch(t)
     decided = t.decided.where(c("decision").isNotNull())
     pairs = F.map_from_entries(F.collect_list(F.struct(C.frame_key(c("clip"), c("id")), "decision")))
-    decided.groupBy("clip").agg(pairs.alias("decisions")).select("decisions").write.json(path)
-    rows = IO.ledger_rows(t.spark.read.json(path, schema="decisions map<string,string>"))
+    decided.groupBy("clip", F.floor(c("id").cast("long") / 1000)).agg(pairs.alias("decisions")).select("decisions").write.json(path)  # bounded documents
+    rows = IO.read_ledger(t.spark, path, multi_line=False)
     return rows.groupBy("clip").agg(F.count("*").alias("n"), F.count_if(c("decision") == "y").alias("n_yes"), F.sum("frame_idx").cast("long").alias("frames"))
 
 
@@ -77,7 +77,7 @@ def read_exclusions(t):
 @query("read_blacklist", "SELECT clip||'#'||frame_idx AS frame_key FROM fx_decided WHERE decision = 'n'")
 def read_blacklist(t):
     path = scratch(t)
-    t.decided.where("decision = 'n'").groupBy("clip").agg(F.collect_list(C.frame_key(c("clip"), c("frame_idx"))).alias("bad_gt_keys")).select("bad_gt_keys").write.json(path)
+    t.decided.where("decision = 'n'").groupBy("clip", F.floor(c("frame_idx") / 1000)).agg(F.collect_list(C.frame_key(c("clip"), c("frame_idx"))).alias("bad_gt_keys")).select("bad_gt_keys").write.json(path)
     return IO.read_blacklist(t.spark, path, multi_line=False)
 
 
@@ -87,8 +87,7 @@ def read_box_labels(t):
     path = scratch(t)
     num = lambda i: F.round(F.abs(c("sig")[i]), 4).cast("string")
     t.sigs.select("clip", F.concat_ws(" ", c("label").cast("string"), num(0), num(1), num(2), num(3)).alias("value")).write.partitionBy("clip").text(path)
-    rows = t.spark.read.text(path)
-    d = IO.box_label_rows(rows, c("clip"))
+    d = IO.read_box_labels(t.spark, path, r"clip=([^/]+)/")
     return d.groupBy("image").agg(F.count("*").alias("n"), r6(F.sum("cx")).alias("sum_cx"), r6(F.sum("h")).alias("sum_h"), F.sum("class_id").alias("classes"))
 
 

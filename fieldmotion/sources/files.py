@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldmotion.operators.reliable import stage
+
 TRUTH_SCHEMA = T.StructType([
     T.StructField("frame", T.IntegerType()), T.StructField("nflId", T.LongType()),
     T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("s", T.DoubleType()),
@@ -61,18 +63,35 @@ def tracking_rows(df: DataFrame) -> DataFrame:
         F.col("in_bad_run").cast("int").alias("in_bad_run"))
 
 
-def write_tracking(df: DataFrame, path: str) -> None:
-    """CSV folders per clip, each sorted by track then frame. Clips are spread over a
-    few salted tasks so that a long clip does not end in one file."""
-    rows = tracking_rows(df)
-    if "clip" in rows.columns:
-        rows.repartition("clip", "track_id").sortWithinPartitions("clip", "track_id", "frame_idx").write.partitionBy("clip").csv(path, header=True)
-    else:
-        rows.repartitionByRange("track_id", "frame_idx").sortWithinPartitions("track_id", "frame_idx").write.csv(path, header=True)
+TRACKING = "frame_idx int, track_id bigint, x_yd double, y_yd double, team string, in_bad_run int"
+
+
+def write_tracking(df: DataFrame, path: str, file_bytes: int = 128 << 20) -> None:
+    """CSV files in the order of clip (where there is one), track and frame, each a range of
+    that order of about ``file_bytes``, and a commit record of what was written.
+
+    The number of files follows the bytes, not the clips; the record is written last, so
+    an interrupted write is no table. An existing table is never replaced.
+    """
+    rows = stage(tracking_rows(df))
+    order = [c for c in ("clip", "track_id", "frame_idx") if c in rows.columns]
+    size = rows.agg(F.coalesce(F.sum(F.length(F.concat_ws(",", *rows.columns)) + 1), F.lit(0)).alias("n")).first()["n"]
+    files = max(1, -(-int(size) // file_bytes))
+    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("errorifexists").csv(f"{path}/data", header=True)
+    schema = ("clip string, " if "clip" in order else "") + TRACKING
+    back = df.sparkSession.read.csv(f"{path}/data", header=True, schema=schema)
+    ends = [f(F.struct(*order)).alias(n) for f, n in ((F.min, "first"), (F.max, "last"))]
+    per_file = back.groupBy(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file")).agg(F.count("*").alias("n_rows"), *ends)
+    per_file.coalesce(1).write.mode("errorifexists").json(f"{path}/commit")
 
 
-def read_tracking(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema="frame_idx int, track_id bigint, x_yd double, y_yd double, team string, in_bad_run int, clip string")
+def read_tracking(spark: SparkSession, path: str, clip: bool = True) -> DataFrame:
+    """A committed tracking table; without its commit record the read fails."""
+    record = spark.read.schema("file string, n_rows long").json(f"{path}/commit")
+    rows = spark.read.csv(f"{path}/data", header=True, schema=("clip string, " if clip else "") + TRACKING)
+    # files that no commit names, as those of a failed attempt, are not part of the table
+    named = rows.withColumn("_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    return named.join(record.select(F.col("file").alias("_file")), "_file", "left_semi").drop("_file")
 
 
 def write_scores(df: DataFrame, path: str) -> None:
@@ -108,9 +127,10 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("id", F.concat_ws("_", "tag", F.format_string("%04d", "frame_idx")))
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Decisions map of one ledger document: clip, frame_idx, decision."""
-    doc = spark.read.json(path, schema="decisions map<string,string>", multiLine=True)
+def read_ledger(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Decisions maps of ledger documents: clip, frame_idx, decision. A big ledger is better
+    kept as many documents, one a line (``multi_line=False``)."""
+    doc = spark.read.json(path, schema="decisions map<string,string>", multiLine=multi_line)
     return ledger_rows(doc)
 
 
@@ -131,9 +151,9 @@ def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(name.alias("name")).where(F.col("name") != "")
 
 
-def read_box_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Normalised box labels, one text file per image named after it."""
-    return box_label_rows(spark.read.text(path), F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1))
+def read_box_labels(spark: SparkSession, path: str, image: str = r"([^/]+)\.txt$") -> DataFrame:
+    """Normalised box labels, one text file per image; ``image`` finds its name in the path."""
+    return box_label_rows(spark.read.text(path), F.regexp_extract(F.input_file_name(), image, 1))
 
 
 def box_label_rows(lines: DataFrame, image: Column) -> DataFrame:

@@ -193,6 +193,27 @@ def test_text_sources(spark, tmp_path):
     assert sorted((r.clip, r.frame_idx, r.decision) for r in IO.read_ledger(spark, str(tmp_path / "l.json")).collect()) == [("c_1", 7, "y"), ("c_1", 9, "n")]
 
 
+def test_tracking_sink_follows_bytes_and_needs_its_commit(spark, tmp_path):
+    rows = [(f"c{i % 40}", i // 40, i % 3, i / 7, 1.0, "team_A", i % 2 == 0) for i in range(800)] + [("c0", 99, 1, float("nan"), 1.0, None, None)]
+    d = spark.createDataFrame(rows, "clip string, frame_idx int, track_id long, x_yd double, y_yd double, team string, in_bad_run boolean")
+    for name, size in (("one", 1 << 20), ("many", 4000)):
+        IO.write_tracking(d, str(tmp_path / name), size)
+        back = IO.read_tracking(spark, str(tmp_path / name))
+        assert back.count() == 800
+    files = lambda n: len(list((tmp_path / n / "data").glob("*.csv")))
+    assert files("one") == 1 and 5 <= files("many") <= 12
+    place = lambda x: (x["clip"], x["track_id"], x["frame_idx"])
+    record = sorted(spark.read.json(str(tmp_path / "many" / "commit")).collect(), key=lambda r: place(r["first"]))
+    assert sum(r["n_rows"] for r in record) == 800 and all(place(a["last"]) <= place(b["first"]) for a, b in zip(record, record[1:]))
+    (tmp_path / "many" / "data" / "part-stray.csv").write_text("clip,frame_idx,track_id,x_yd,y_yd,team,in_bad_run\nz,1,1,1.0,1.0,u,0\n")
+    assert IO.read_tracking(spark, str(tmp_path / "many")).count() == 800
+    with pytest.raises(Exception, match="(?i)already exists"):
+        IO.write_tracking(d, str(tmp_path / "one"))
+    d.coalesce(1).write.csv(str(tmp_path / "torn" / "data"))
+    with pytest.raises(Exception, match="(?i)not exist"):
+        IO.read_tracking(spark, str(tmp_path / "torn"))
+
+
 def test_field_points(spark):
     pts = IO.field_points(spark)
     assert pts.count() == 21 * 4 + 9 * 2
