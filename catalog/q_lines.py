@@ -249,3 +249,27 @@ def label_numbers(t):
         return g.withColumns({"value": q["value"], "has_value": q["has_value"], "label_conf": q["conf"], "keep": c("comp") != 2})
 
     return M.label_numbers(groups, labeller).select(*FRAME, "comp", "value", "has_value", r6("conf").alias("conf"))
+
+
+@query("label_numbers_truth", f"""
+WITH g AS (SELECT clip, frame_idx, comp, avg(px) AS cx, avg(py) AS cy, avg(prob) AS conf FROM fx_pixels WHERE ch = 3 GROUP BY ALL),
+x AS (SELECT g.*, {px('h', 'cx', 'cy')} AS x FROM g LEFT JOIN fx_frames f ON f.clip = g.clip AND f.frame_idx = g.frame_idx AND h IS NOT NULL),
+q AS (SELECT *, round_even(x/5, 0)*5 AS v, abs(x - round_even(x/5, 0)*5) AS dev FROM x)
+SELECT clip, frame_idx, comp, CASE WHEN ok THEN v ELSE 0e0 END AS value, ok AS has_value, {R6('conf*CASE WHEN ok THEN least(greatest(1 - dev/2.5e0, 0e0), 1e0) ELSE 1e0 END')} AS conf
+FROM (SELECT *, coalesce(v BETWEEN 10 AND 110 AND dev < 3, false) AS ok FROM q)""")
+def label_numbers_truth(t):
+    groups = t.pixels.where("ch = 3").groupBy(*FRAME, "comp").agg(F.avg("px").alias("cx"), F.avg("py").alias("cy"), F.avg("prob").alias("conf"))
+    return M.label_numbers(groups, M.truth_labeller(t.frames)).select(*FRAME, "comp", "value", "has_value", r6("conf").alias("conf"))
+
+
+# two groups a frame: components 0 to 2, and the others
+@query("label_numbers_majority", f"""
+WITH g AS (SELECT clip, frame_idx, CAST(comp > 2 AS INT) AS line, avg(prob) AS conf FROM fx_pixels WHERE ch = 3 GROUP BY ALL),
+n AS (SELECT clip, frame_idx, CAST(comp > 2 AS INT) AS line, CAST(round_even((raw % 40 - 25)/5e0, 0)*5 AS DOUBLE) AS v, count(*) AS n FROM fx_pixels WHERE ch = 3 AND raw % 40 - 25 > 0 GROUP BY ALL),
+b AS (SELECT *, n/(1e0*sum(n) OVER (PARTITION BY clip, frame_idx, line)) AS share FROM n QUALIFY row_number() OVER (PARTITION BY clip, frame_idx, line ORDER BY n DESC, v) = 1)
+SELECT clip, frame_idx, line, coalesce(v, 0e0) AS value, v IS NOT NULL AS has_value, {R6('conf*coalesce(share, 1e0)')} AS conf FROM g LEFT JOIN b USING (clip, frame_idx, line)""")
+def label_numbers_majority(t):
+    numbers = t.pixels.where("ch = 3").withColumn("line", (c("comp") > 2).cast("int"))
+    groups = numbers.groupBy(*FRAME, "line").agg(F.avg("prob").alias("conf"), F.sort_array(F.collect_set("comp")).alias("members"))
+    named = M.label_numbers(groups, M.majority_labeller(t.pixels.where("ch = 3"), (c("raw") % 40 - 25).cast("double")))
+    return named.select(*FRAME, "line", "value", "has_value", r6("conf").alias("conf"))

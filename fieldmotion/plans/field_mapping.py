@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fieldmotion.functions.arrays import token_features
 from fieldmotion.functions.constants import HASH, HASH_FAR_Y, HASH_NEAR_Y, FIELD_WIDTH, NUMBER, NUMBER_FAR_INSIDE_Y, NUMBER_NEAR_INSIDE_Y, SIDE, YARD
-from fieldmotion.functions.field import allowed_region, class_yards
-from fieldmotion.functions.geometry import project
+from fieldmotion.functions.field import allowed_region, class_yards, quantise_conf
+from fieldmotion.functions.geometry import project, undistort
 from fieldmotion.operators import lines as L
 from fieldmotion.operators.labels import drop_rates
 from fieldmotion.operators.rejects import drop_small_groups
@@ -58,7 +58,8 @@ def number_groups(pixels: DataFrame, min_component: int = 30) -> DataFrame:
     spaced = comps.join(L.yard_spacing(yards), FRAME, "left").withColumn("spacing", F.coalesce("spacing", F.lit(100.0)))
     clusters = L.single_link(spaced, F.col("spacing"))
     stats = L.component_stats(num.join(clusters, COMP), [*FRAME, "cluster"])
-    return drop_small_groups(stage(stats)).withColumnRenamed("cluster", "line")
+    members = clusters.groupBy(*FRAME, "cluster").agg(F.sort_array(F.collect_set("comp")).alias("members"))  # a frame's few components
+    return drop_small_groups(stage(stats.join(members, [*FRAME, "cluster"]))).withColumnRenamed("cluster", "line")
 
 
 def tokenise(pixels: DataFrame, labeller=None) -> DataFrame:
@@ -73,7 +74,7 @@ def tokenise(pixels: DataFrame, labeller=None) -> DataFrame:
     side = grouped_lines(pixels, SIDE, SIDE_RULE, None).withColumn("type", F.lit(SIDE))
     hashes = L.component_stats(pixels.where(F.col("ch") == HASH), COMP).withColumnRenamed("comp", "line").withColumn("type", F.lit(HASH))
     plain = [d.withColumns({"value": F.lit(0.0), "has_value": F.lit(False)}) for d in (yard, side, hashes)]
-    numbers = label_numbers(number_groups(pixels), labeller).withColumn("type", F.lit(NUMBER))
+    numbers = label_numbers(number_groups(pixels), labeller).drop("members").withColumn("type", F.lit(NUMBER))
     out = plain[0]
     for d in (plain[1], plain[2], numbers):
         out = out.unionByName(d)
@@ -88,6 +89,44 @@ def null_labeller(groups: DataFrame) -> DataFrame:
     return groups.withColumns({"value": F.lit(0.0), "has_value": F.lit(False), "label_conf": F.lit(0.0)})
 
 
+def truth_labeller(frames: DataFrame):
+    """A labeller that places each group's centre by its frame's known homography and snaps
+    it to five yards. ``frames``: clip, frame_idx, h and, for lenses to be undone, k and
+    dist; groups of frames without a homography have no value."""
+    held = frames.where(F.col("h").isNotNull()).select(*FRAME, *[F.col(c).alias("_" + c) for c in ("h", "k", "dist") if c in frames.columns])
+
+    def labeller(groups: DataFrame) -> DataFrame:
+        u, v = F.col("cx"), F.col("cy")
+        if "_k" in held.columns:
+            iu, iv = undistort(u, v, F.col("_k"), F.col("_dist"))
+            u, v = F.when(F.col("_k").isNull(), u).otherwise(iu), F.when(F.col("_k").isNull(), v).otherwise(iv)
+        x, _ = project(F.col("_h"), u, v)
+        q = quantise_conf(x)
+        placed = groups.join(held, FRAME, "left")
+        known = F.coalesce(F.col("_h").isNotNull() & q["has_value"], F.lit(False))
+        return placed.withColumns({"value": F.when(known, q["value"]).otherwise(0.0), "has_value": known,
+                                   "label_conf": F.when(known, q["conf"]).otherwise(0.0)}).drop(*[c for c in held.columns if c not in FRAME])
+
+    return labeller
+
+
+def majority_labeller(pixels: DataFrame, value: Column):
+    """A labeller that gives each group the five-yard value most of its labelled pixels
+    have, with their share. ``pixels``: clip, frame_idx, comp and what ``value`` reads (0 or
+    less: no label); groups carry their components in ``members``. Votes are counted per
+    component before they meet the groups."""
+    votes = pixels.where(value > 0).groupBy(*COMP, (F.rint(value / 5) * 5).alias("_q")).agg(F.count("*").alias("_n"))
+
+    def labeller(groups: DataFrame) -> DataFrame:
+        member = groups.select(*FRAME, "line", F.explode("members").alias("comp"))
+        counted = member.join(votes, COMP).groupBy(*FRAME, "line", "_q").agg(F.sum("_n").alias("_n"))
+        best = counted.groupBy(*FRAME, "line").agg(F.max_by("_q", F.struct("_n", -F.col("_q"))).alias("value"), (F.max("_n") / F.sum("_n")).alias("label_conf"))
+        named = groups.join(best, [*FRAME, "line"], "left").withColumn("has_value", F.col("value").isNotNull())
+        return named.fillna(0.0, ["value", "label_conf"])
+
+    return labeller
+
+
 def label_numbers(groups: DataFrame, labeller=None) -> DataFrame:
     """Apply a labeller (groups -> value, has_value, label_conf[, keep]); rows it does not
     keep are dropped, and a valued token's confidence is scaled by the label's."""

@@ -21,6 +21,7 @@ from fieldmotion.operators.histograms import histogram_1d
 from fieldmotion.operators import teams
 from fieldmotion.operators.planar import fit_similarity
 from fieldmotion.operators.teams import split_at_median
+from fieldmotion.plans import field_mapping as M
 from fieldmotion.sources import files as IO
 
 
@@ -303,3 +304,20 @@ def test_pca_split_reads_whole_vectors(spark):
         want |= dict(zip(g["track_id"], proj))
     got = {r["track_id"]: r["proj"] for r in QUERIES["pca_split"](spark, d).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_tokens_take_their_values_from_a_labeller(spark):
+    """Number groups by the majority of their pixels and by a known homography, inside the token pipeline."""
+    pix = [("c", 0, 3, comp, 300 + 8 * comp + i, 200 + i % 7, 0.9, 40.0 if comp == 0 else 45.0 if i % 3 else 0.0) for comp in (0, 1) for i in range(40)]
+    d = spark.createDataFrame(pix, "clip string, frame_idx int, ch int, comp int, px int, py int, prob double, raw double")
+    value = lambda labeller: [(r["token"][13], r["token"][14]) for r in M.tokenise(d, labeller).where("type = 3").collect()]
+    names = M.tokenise(d).where("type = 3").collect()
+    assert len(names) == 1 and names[0]["area"] == 80
+    groups = M.number_groups(d)
+    voted = M.label_numbers(groups, M.majority_labeller(d, F.col("raw"))).collect()
+    assert [(r["value"], r["has_value"], r["members"]) for r in voted] == [(40.0, True, [0, 1])] and voted[0]["conf"] == pytest.approx(0.9 * 40 / 66)
+    frames = spark.createDataFrame([("c", 0, [0.1, 0.0, 8.0, 0.0, 0.1, 0.0, 0.0, 0.0, 1.0])], "clip string, frame_idx int, h array<double>")
+    placed = M.label_numbers(groups, M.truth_labeller(frames)).collect()
+    assert [(r["value"], r["has_value"]) for r in placed] == [(40.0, True)]
+    assert M.label_numbers(groups, M.truth_labeller(frames.limit(0))).collect()[0]["has_value"] is False
+    assert value(M.majority_labeller(d, F.col("raw"))) != value(None)
